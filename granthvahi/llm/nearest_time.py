@@ -28,8 +28,8 @@ def read_seconds(value: Column) -> Column:
     h:m:s and h.m.s (minutes and seconds below 60), m:s and m.s (minutes may
     pass 59), "1h 2m 3s" with any of its parts, and a bare number of seconds; in
     any script's digits, with blanks around."""
-    t = F.lower(F.translate(value, DIGITS + "：．，", "0123456789" * 7 + ":.,"))
-    t = F.trim(F.regexp_replace(t, r"[\s   ​-‏⁠﻿]+", " "))
+    t = F.lower(F.translate(value, DIGITS + "\uff1a\uff0e\uff0c", "0123456789" * 7 + ":.,"))
+    t = F.trim(F.regexp_replace(t, r"[\s\x{a0}\x{2000}-\x{200f}\x{202f}\x{2060}\x{3000}\x{feff}]+", " "))
     t = F.regexp_replace(t, r"\s*([:.])\s*", "$1")
     three, two = r"^(\d{1,6})([:.])(\d{1,2})\2(\d{1,2}(?:\.\d+)?)$", r"^(\d{1,7})[:.](\d{1,2})$"
     named = r"^(?:(\d+)\s*h(?:rs?|ours?)?\.?\s*)?(?:(\d+)\s*m(?:ins?|inutes?)?\.?\s*)?(?:(\d+)\s*s(?:ecs?|econds?)?\.?)?$"

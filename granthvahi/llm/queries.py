@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
+from .lookalikes import same_look, unify
 from .nearest_time import nearest, read_seconds
 from .packing import pack
+from .quality import text_statistics
 from .splitting import split_oversized
 from .tokenize import token_counts, token_ids
 
@@ -41,6 +43,23 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, False).select("kind", "doc_id", "id", "piece", "start_at", "end_at", "piece_text")
 
 
+def _named_values(spark: SparkSession, d: str) -> DataFrame:
+    seg, lex = load(spark, d, "segments"), load(spark, d, "lexicon")
+    parts = [(seg, "segment", "segment_key", "source_text"), (lex, "lexicon_source", "entry_id", "source"), (lex, "lexicon_alias", "entry_id", "tts_alias")]
+    got = [df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(text).alias("text")) for df, kind, key, text in parts]
+    return got[0].unionByName(got[1]).unionByName(got[2])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records that look the same but are stored with other characters."""
+    return same_look(_named_values(spark, d))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The one form of every value in which scripts were mixed."""
+    return unify(_named_values(spark, d))[1].select("kind", "key", "form").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Each readable note with the chunk that starts nearest to it."""
     _, tolerance, _ = limit_of(spark, d, "note_distance")
@@ -61,8 +80,19 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(token_counts(load(spark, d, "documents")), "doc_id", "n_tokens", capacity)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are mostly a list, a table or junk."""
+    got = text_statistics(load(spark, d, "documents"), load(spark, d, "common_words"))
+    return got.where("form in ('list', 'table', 'junk')").select("doc_id", "form").distinct()
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and form of every document."""
+    return text_statistics(load(spark, d, "documents"), load(spark, d, "common_words"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p7_ids, p8_containers)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_repaired, p5_found, p7_ids, p8_containers, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
