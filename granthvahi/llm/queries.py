@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
+from .language import language_stretches, languages_beside_label
 from .lookalikes import same_look, unify
 from .nearest_time import nearest, read_seconds
 from .packing import pack
@@ -24,6 +25,23 @@ def limit_of(spark: SparkSession, d: str, name: str) -> tuple[str, int, int]:
     return r["unit"], int(r["max_size"]), int(r["overlap_size"])
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    seg, doc = load(spark, d, "segments"), load(spark, d, "documents")
+    a = seg.select(F.lit("segment").alias("kind"), F.col("segment_key").alias("key"), F.col("source_text").alias("text"), "lang")
+    return a.unionByName(doc.select(F.lit("document").alias("kind"), F.col("doc_id").alias("key"), "text", "lang"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages in which a record holds a sentence and which its label does not name."""
+    got = languages_beside_label(_labelled(spark, d), load(spark, d, "common_words"))
+    return got.select("kind", F.col("key").alias("rec_key"), "lang")
+
+
+def p1_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's stretches of one language with a confidence."""
+    return language_stretches(_labelled(spark, d), load(spark, d, "common_words")).withColumnRenamed("key", "rec_key")
+
+
 def _pieces(spark: SparkSession, d: str, oversized_only: bool) -> DataFrame:
     parts = []
     for kind, name, table, text in (("segment", "segment_size", "segments", "source_text"), ("passage", "passage_size", "passages", "text")):
@@ -92,7 +110,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_repaired, p5_found, p7_ids, p8_containers, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_pieces, p4_found, p4_repaired, p5_found, p7_ids, p8_containers, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
