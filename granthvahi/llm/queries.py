@@ -13,6 +13,7 @@ from .lookalikes import same_look, unify
 from .nearest_time import nearest, read_seconds
 from .packing import pack
 from .quality import text_statistics
+from .sentences import sentence_cuts, sentence_units
 from .splitting import split_oversized
 from .tokenize import token_counts, token_ids
 
@@ -61,6 +62,20 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, False).select("kind", "doc_id", "id", "piece", "start_at", "end_at", "piece_text")
 
 
+def _typed_segments(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "segments").where("origin is distinct from 'ocr'").select("segment_key", "source_text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Where each sentence but the first of a segment begins."""
+    return sentence_cuts(_typed_segments(spark, d), "segment_key", "source_text")
+
+
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of those segments in order."""
+    return sentence_units(_typed_segments(spark, d), "segment_key", "source_text").distinct()
+
+
 def _named_values(spark: SparkSession, d: str) -> DataFrame:
     seg, lex = load(spark, d, "segments"), load(spark, d, "lexicon")
     parts = [(seg, "segment", "segment_key", "source_text"), (lex, "lexicon_source", "entry_id", "source"), (lex, "lexicon_alias", "entry_id", "tts_alias")]
@@ -110,7 +125,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_pieces, p4_found, p4_repaired, p5_found, p7_ids, p8_containers, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_pieces, p3_found, p3_sentences, p4_found, p4_repaired, p5_found, p7_ids, p8_containers, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
