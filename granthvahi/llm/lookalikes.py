@@ -12,7 +12,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 import unicodedata
@@ -44,35 +43,20 @@ _CODES = [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x12000),
 INVISIBLE = "[" + "".join(chr(c) for c in _CODES if unicodedata.category(chr(c)) == "Cf" and not 0x600 <= c <= 0x605 and c not in (0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD)) + "\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180e\ufe00-\ufe0f\U000e0100-\U000e01ef\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]"
 BLANKS = "[\t\x0b\x0c\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 WIDTHS = "[\uff01-\uffee\ufb00-\ufb06\ufb50-\ufdff\ufe70-\ufefc]"
+_ODD = re.compile(f"[{INVISIBLE[1:-1]}{BLANKS[1:-1]}{WIDTHS[1:-1]}]")
 _INVISIBLE, _BLANKS, _WIDTHS, _COMPOSED = re.compile(INVISIBLE), re.compile(BLANKS), re.compile(WIDTHS), re.compile("|".join(COMPOSED))
 
 
-@functools.cache
-def touched() -> re.Pattern:
-    """What the normal form may change: characters that composition can change or
-    reorder, widths, blanks, invisible marks, split signs. Derived from the Unicode
-    tables of this Python."""
-    hit = set()
-    for c in _CODES:
-        ch = chr(c)
-        d = unicodedata.decomposition(ch)
-        if unicodedata.combining(ch) not in (0, 9) or unicodedata.normalize("NFC", ch) != ch:
-            hit.add(ch)
-        if d and d[0] != "<" and len(d.split()) == 2:
-            hit.add(chr(int(d.split()[1], 16)))  # may compose with what stands before it
-    hit -= {c for c in hit if c < "\x80"}
-    chars = "".join(map(re.escape, sorted(hit)))
-    return re.compile(f"[{chars}{INVISIBLE[1:-1]}{BLANKS[1:-1]}{WIDTHS[1:-1]}\u1100-\u11ff]|" + "|".join(COMPOSED))
-
-
 def normal_form(text: str) -> str:
     """Canonical composition with plain widths and blanks and nothing invisible."""
-    if not touched().search(text):
-        return text
-    t = _WIDTHS.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
-    t = _BLANKS.sub(" ", _INVISIBLE.sub("", t))
+    t = text
+    if _ODD.search(t):
+        t = _WIDTHS.sub(lambda m: unicodedata.normalize("NFKC", m[0]), t)
+        t = _BLANKS.sub(" ", _INVISIBLE.sub("", t))
     t = unicodedata.normalize("NFC", t)
-    return unicodedata.normalize("NFC", _COMPOSED.sub(lambda m: COMPOSED[m[0]], t))
+    if any(pair in t for pair in COMPOSED):
+        t = unicodedata.normalize("NFC", _COMPOSED.sub(lambda m: COMPOSED[m[0]], t))
+    return text if t == text else t
 
 
 def _script(c: str) -> str | None:
@@ -122,7 +106,19 @@ def _digest(text: str) -> str:
     return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
 
 
+#: A partition's words are given out whenever so many different ones are held.
+HELD_WORDS = 200_000
+
+
+def _word_batch(words: set[str]) -> pa.RecordBatch:
+    n = len(words)
+    nothing = pa.nulls(n, pa.string())
+    return pa.RecordBatch.from_arrays([nothing, pa.nulls(n, pa.int64()), nothing, nothing, nothing, pa.array(words, pa.string())], names=FORM_NAMES)
+
+
 def _normal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of every row, the normal form of rows with mixed tokens, and each word of the normal forms."""
+    words: set[str] = set()
     for b in batches:
         for lo in range(0, b.num_rows, 2048):
             part = b.slice(lo, 2048)
@@ -132,9 +128,16 @@ def _normal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw.append(_digest(x))
                 canon.append(raw[-1] if t is x else _digest(t))
                 form.append(t if _MIXED.search(t) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.string()), pa.array(canon, pa.string()), pa.array(form, pa.string())], names=["kind", "key", "raw", "canon", "form"])
+                words.update(t.split())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.string()), pa.array(canon, pa.string()), pa.array(form, pa.string()), pa.nulls(len(raw), pa.string())], names=FORM_NAMES)
+            if len(words) > HELD_WORDS:
+                yield _word_batch(words)
+                words = set()
+    if words:
+        yield _word_batch(words)
 
 
+FORM_NAMES = ["kind", "key", "raw", "canon", "form", "word"]
 _MIXED = re.compile(MIXED)
 
 
@@ -155,12 +158,11 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _attested(results: DataFrame, texts: DataFrame) -> DataFrame:
+def _attested(results: DataFrame, words: DataFrame) -> DataFrame:
     """(token, result) pairs whose result the corpus vocabulary holds."""
     pairs = results.select("token", "result").distinct()
     wanted = pairs.select("result").distinct()
-    words = texts.select(F.explode(F.split("text", "[ \n]")).alias("result"))
-    own = words.join(wanted, "result", "left_semi").distinct()
+    own = words.select(F.col("word").alias("result")).distinct().join(wanted, "result", "left_semi")
     shared = pairs.groupBy("result").agg(F.count("*").alias("n")).where("n > 1").select("result")
     return pairs.join(own.unionByName(shared).distinct(), "result", "left_semi")
 
@@ -173,10 +175,11 @@ def unify(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     (the outcome's text) of the rows that held a mixed token. Rows with a null key
     or text take no part; repeated rows stay repeated."""
     rows = values.where("key is not null and text is not null").select("kind", "key", "text")
-    forms = cut(rows.mapInArrow(_normal_rows, "kind string, key bigint, raw string, canon string, form string"))
+    forms = cut(rows.mapInArrow(_normal_rows, "kind string, key bigint, raw string, canon string, form string, word string"))
+    words, forms = forms.where("word is not null").select("word"), forms.where("word is null").drop("word")
     mixed = forms.where("form is not null").select("kind", "key", "raw", "form").dropDuplicates(["kind", "key", "raw"])
     tokens = cut(mixed.mapInArrow(_token_rows, "kind string, key bigint, raw string, at int, token string, result string"))
-    good = _attested(tokens, rows)
+    good = _attested(tokens, words)
     fixes = tokens.join(good, ["token", "result"]).groupBy("kind", "key", "raw").agg(F.map_from_entries(F.collect_list(F.struct("at", "result"))).alias("fix"))
     pieces = F.split(F.regexp_replace("form", "([ \n])", "\u0001$1\u0001"), "\u0001")
     fixed = F.array_join(F.transform(pieces, lambda p, i: F.coalesce(F.element_at("fix", i), p)), "")
