@@ -12,6 +12,7 @@ from .language import language_stretches, languages_beside_label
 from .lookalikes import same_look, unify
 from .nearest_time import nearest, read_seconds
 from .packing import pack
+from .scans import learn, page_damage, repaired_pages
 from .quality import text_statistics
 from .sentences import sentence_cuts, sentence_units
 from .splitting import split_oversized
@@ -102,6 +103,38 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("entity").alias("doc_id"), F.col("id").alias("issue_id"), F.col("target_id").alias("chunk_id"))
 
 
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scanned pages with their book's title, and typed text with titles and headings."""
+    seg = load(spark, d, "segments")
+    books = load(spark, d, "projects").groupBy("id").agg(F.max("display_name").alias("title"))
+    pages = seg.where("origin = 'ocr'").select(F.col("segment_key").alias("key"), "doc_id", F.col("source_text").alias("text"), "page")
+    # Catalyst broadcasts the books while they are small and sorts both sides beyond
+    pages = pages.join(books, F.col("doc_id") == F.col("id"), "left").select("key", "text", "title", "page")
+    heading = F.coalesce(F.col("segment_type").isin("heading", "subheading"), F.lit(False))
+    typed = seg.where("origin is distinct from 'ocr'").select(F.col("source_text").alias("text"), heading.alias("heading"))
+    return pages, typed.unionByName(books.select(F.col("title").alias("text"), F.lit(True).alias("heading")))
+
+
+def _common(spark: SparkSession, d: str, most: int = 20_000) -> frozenset[str]:
+    """The words of common_words, a fixed table; more than ``most`` are refused."""
+    words = [r["word"] for r in load(spark, d, "common_words").select(F.lower("word").alias("word")).where("word is not null").distinct().limit(most + 1).collect()]
+    if len(words) > most:
+        raise ValueError(f"more than {most} common words")
+    return frozenset(words)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds of damage of each scanned segment."""
+    pages, typed = _scanned(spark, d)
+    return page_damage(pages, learn(typed, _common(spark, d))).withColumnRenamed("key", "segment_key")
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of each scanned segment."""
+    pages, typed = _scanned(spark, d)
+    return repaired_pages(pages, learn(typed, _common(spark, d))).distinct().withColumnRenamed("key", "segment_key")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(load(spark, d, "documents"))
@@ -125,7 +158,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_pieces, p3_found, p3_sentences, p4_found, p4_repaired, p5_found, p7_ids, p8_containers, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_pieces, p3_found, p3_sentences, p4_found, p4_repaired, p5_found, p6_found, p6_repaired, p7_ids, p8_containers, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
