@@ -106,9 +106,8 @@ class Corpus:
         if word in self.common:
             return True
         n = self.count(word)
-        if n < max(5, 1e-4 * self.total):
-            return False
-        return float(self.titles[_slots(word)[0]]) / max(1.0, self.titled) < 0.1 * n / self.total
+        expected = self.titled * n / self.total  # if headings were like running text
+        return expected >= 4.0 and float(self.titles[_slots(word)[0]]) < 0.1 * expected
 
 
 def repairs(word: str, corpus: Corpus, most: int = 400) -> list[tuple[str, float]]:
