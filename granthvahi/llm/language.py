@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -39,7 +40,12 @@ LANGUAGES = list(NAMES)
 
 MARKS = "\\u0300-\\u036f\\u064b-\\u065f\\u0670\\u0900-\\u0903\\u093a-\\u094f\\u0955-\\u0957\\u0962\\u0963\\u0981-\\u0983\\u09bc-\\u09cd\\u09d7\\u0a81-\\u0a83\\u0abc-\\u0acd\\u0b82\\u0bbe-\\u0bcd\\u0bd7\\u200c\\u200d"
 CJK = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff"
-WORD = re.compile(f"[{CJK}]|(?:(?![{CJK}\\d_])\\w|[{MARKS}])+")
+# Letters and marks of the scripts of LANGUAGES, as one class: a word is found in one run.
+LETTERS = (
+    "a-z\\u00e0-\\u00f6\\u00f8-\\u024f\\u0300-\\u036f\\u0610-\\u061a\\u0620-\\u065f\\u066e-\\u06d3\\u06d5-\\u06dc\\u06df-\\u06e8\\u06ea-\\u06ef\\u06fa-\\u06ff\\u0900-\\u0963\\u0971-\\u09e3"
+    "\\u09f0-\\u09f1\\u0a81-\\u0ae3\\u0b82-\\u0be5"
+)
+WORD = re.compile(f"[{LETTERS}]+|[{CJK}]")  # in lower-case text
 ENDS = re.compile("[।॥?!؟۔。！？|]+[\"'”’»)\\]」』]*|\\.+[\"'”’»)\\]]*(?=\\s|$|[^\\s\\w.,])|…[\"'”’»)\\]]*(?=\\s*$)")
 TAG = re.compile(r"<metadata_page>[^<]*</metadata_page>|</?[A-Za-z_][\w-]*>|={3,}PAGE_BREAK={3,}|&nbsp;|\(cid:\d+\)")
 INVISIBLE = re.compile("[\\u00ad\\u200b-\\u200d\\u2060\\ufeff\\u200e\\u200f]")
@@ -55,7 +61,8 @@ WHOLE = 7
 
 _TWINS = str.maketrans(TO_LATIN)
 FOREIGN_LETTER = re.compile("[\\u0370-\\u03ff\\u0400-\\u052f]")
-LEADING_MARK = re.compile(f"[{MARKS}]")
+CODE = re.compile(r"[A-Za-z0-9+/=_.\-]{40,}")
+STREWN = re.compile(f"[A-Za-z][\\u0900-\\u0dff]|[\\u0900-\\u0dff][A-Za-z]|(?<![\\u0900-\\u0dff])[{MARKS}]")
 
 
 def label_language(label: str | None) -> str:
@@ -165,9 +172,14 @@ class Profiles:
         flat, starts = [], np.zeros(len(texts), np.int64)
         for i, words in enumerate(texts):
             starts[i] = len(flat)
-            for w in words:
-                k = get(w)
-                flat.append(index(w) if k is None else k)
+            flat += map(get, words)
+        if None in flat:
+            at = 0
+            for words in texts:
+                for w in words:
+                    if flat[at] is None:
+                        flat[at] = index(w)
+                    at += 1
         if not flat:
             return np.zeros((len(texts), len(self.languages)), np.float32)
         ids = np.asarray(flat, np.int64)
@@ -207,7 +219,7 @@ def fit(sample: list[tuple[str, str]], rounds: int = 2, keep: int = 350, dimensi
     for lang, text in sample:
         text = clean(text).lower()
         for a, b, _, _ in sentences(text):
-            words = WORD.findall(text, a, b)
+            words = [sys.intern(w) for w in WORD.findall(text, a, b)]
             if len(words) >= 3:
                 rows.append((lang, words))
     langs = [lang for lang, _ in rows]
@@ -235,6 +247,8 @@ def clean(text: str) -> str:
         text = TAG.sub("\n", text)
     if FOREIGN_LETTER.search(text):
         text = text.translate(_TWINS)  # no language here is written in these letters
+    if CODE.search(text):
+        text = CODE.sub(" ", text)
     return SPACES.sub(" ", INVISIBLE.sub("", text))
 
 
@@ -272,21 +286,27 @@ def judge(profiles: Profiles, texts: list[str], known: frozenset[str], margin: f
         gap = top - float(others.max()) if len(others) else top
         lang = profiles.languages[k]
         cjk = lang in ("ja", "zh")
+        if cjk:
+            n = sum("\u3040" <= w <= "\u9fff" for w in words[j])
         commons = sum(w in known for w in words[j])
         whole = top > 0 and not item and gap > 1.0 and (n >= (5 if cjk else 3) and commons >= 1 or n >= (8 if cjk else 4) and top > 0.5 * n)
-        if whole and not cjk:  # letters strewn about are no sentence
-            whole = sum(len(w) < 2 or bool(LEADING_MARK.match(w)) for w in words[j]) <= n // 3
+        if whole and not cjk:  # letters strewn about and long codes are no sentence
+            span = texts[i][a:b]
+            whole = len(STREWN.findall(span)) * 6 <= n and len(span) <= 24 * (span.count(" ") + span.count("\n") + 1)
         if not ended:
-            whole = whole and not marked[i] and n >= (20 if cjk else 10) and commons >= 2
+            whole = whole and not marked[i] and n >= (20 if cjk else 10) and commons >= max(2, n // 16)
         out[i].append((a, b, lang if top > 0 else "und", 1.0 / (1.0 + math.exp(-min(gap, 30.0) / 2.0)) if top > 0 else 0.0, bool(whole)))
     return out
 
 
 def _sample_text(labelled: DataFrame, sample_rows: int) -> list[tuple[str, str]]:
-    """At most ``sample_rows`` labelled rows, those of the smallest hash: the same at
-    every layout of the data. The driver gets these rows and no others."""
-    rows = labelled.where("lang is not null and length(trim(text)) between 20 and 20000")
-    got = rows.select("lang", "text").orderBy(F.xxhash64("kind", "key"), "kind", "key").limit(sample_rows).collect()
+    """About ``sample_rows`` labelled rows, those whose hash lies below a threshold: the
+    same rows at every layout of the data, and no more of them when it grows. The
+    driver gets these rows and no others."""
+    rows = labelled.where("lang is not null and key is not null")
+    share = min(1.0, sample_rows / max(1, rows.count()))
+    unit = F.shiftrightunsigned(F.xxhash64("kind", "key"), 11).cast("double") / F.lit(float(1 << 53))
+    got = rows.where((unit < share) & F.expr("length(trim(text)) between 20 and 20000")).select("lang", "text").limit(2 * sample_rows).collect()
     return [(code, r["text"]) for r in got if (code := label_language(r["lang"])) in NAMES]
 
 
@@ -325,7 +345,7 @@ def _profiles(rows: DataFrame, common_words: DataFrame, sample_rows: int, max_co
     return fit(_sample_text(rows, sample_rows)), frozenset(known)
 
 
-def languages_beside_label(rows: DataFrame, common_words: DataFrame, sample_rows: int = 12_000) -> DataFrame:
+def languages_beside_label(rows: DataFrame, common_words: DataFrame, sample_rows: int = 9_000) -> DataFrame:
     """kind, key, lang: each language in which a row holds a whole sentence and which
     its label does not name. rows: kind, key BIGINT, text, lang. Null and blank texts
     and texts without a sentence have no row; repeated rows count once."""
@@ -335,7 +355,7 @@ def languages_beside_label(rows: DataFrame, common_words: DataFrame, sample_rows
     return held.mapInArrow(_judge_rows(profiles, known, True), "kind string, key bigint, lang string").distinct()
 
 
-def language_stretches(rows: DataFrame, common_words: DataFrame, sample_rows: int = 12_000) -> DataFrame:
+def language_stretches(rows: DataFrame, common_words: DataFrame, sample_rows: int = 9_000) -> DataFrame:
     """kind, key, lang, start_at, end_at, confidence: the stretches of one language of
     every row, in order; positions in the text without tags and invisible marks. What
     no profile knows is 'und'; null and blank texts have no row."""
