@@ -62,7 +62,7 @@ WHOLE = 7
 _TWINS = str.maketrans(TO_LATIN)
 FOREIGN_LETTER = re.compile("[\\u0370-\\u03ff\\u0400-\\u052f]")
 CODE = re.compile(r"[A-Za-z0-9+/=_.\-]{40,}")
-STREWN = re.compile(f"[A-Za-z][\\u0900-\\u0dff]|[\\u0900-\\u0dff][A-Za-z]|(?<![\\u0900-\\u0dff])[{MARKS}]")
+STREWN = re.compile(f"[A-Za-z0-9][\\u0900-\\u0dff]|[\\u0900-\\u0dff][A-Za-z0-9]|(?<![\\u0900-\\u0dff])[{MARKS}]")
 
 
 def label_language(label: str | None) -> str:
@@ -262,7 +262,9 @@ def judge(profiles: Profiles, texts: list[str], known: frozenset[str], margin: f
     spans: list[tuple[int, int, int, bool, bool]] = []
     words: list[list[str]] = []
     marked = [False] * len(texts)
+    strewn = [False] * len(texts)  # letters and marks strewn about make no sentences
     for i, text in enumerate(texts):
+        strewn[i] = len(STREWN.findall(text)) * 8 > text.count(" ") + 8
         low = text.lower()
         if len(low) != len(text):
             low = text
@@ -290,9 +292,9 @@ def judge(profiles: Profiles, texts: list[str], known: frozenset[str], margin: f
             n = sum("\u3040" <= w <= "\u9fff" for w in words[j])
         commons = sum(w in known for w in words[j])
         whole = top > 0 and not item and gap > 1.0 and (n >= (5 if cjk else 3) and commons >= 1 or n >= (8 if cjk else 4) and top > 0.5 * n)
-        if whole and not cjk:  # letters strewn about and long codes are no sentence
-            span = texts[i][a:b]
-            whole = len(STREWN.findall(span)) * 6 <= n and len(span) <= 24 * (span.count(" ") + span.count("\n") + 1)
+        if whole and not cjk:  # long codes are no sentence
+            whole = b - a <= 24 * (texts[i].count(" ", a, b) + texts[i].count("\n", a, b) + 1)
+        whole = whole and not strewn[i]
         if not ended:
             whole = whole and not marked[i] and n >= (20 if cjk else 10) and commons >= max(2, n // 16)
         out[i].append((a, b, lang if top > 0 else "und", 1.0 / (1.0 + math.exp(-min(gap, 30.0) / 2.0)) if top > 0 else 0.0, bool(whole)))
