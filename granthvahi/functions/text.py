@@ -7,6 +7,7 @@ classes and look-arounds are spelt out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -56,6 +57,11 @@ TOKEN_PUNCTUATION = r"[।॥,.!?;:'\"“”‘’()\[\]{}—–\-…]"
 Rewrite = tuple[str, str]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def chain(text: Column, rules: list[Rewrite]) -> Column:
     """Regex rewrites one after another; their order matters."""
     return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, text)
@@ -112,40 +118,43 @@ def drop_trailing_page_number(text: Column) -> Column:
 
 def is_front_matter(text: Column) -> Column:
     """Labels, author lines, publishing notes below 200 characters, page numbers, nothing at all."""
-    t = F.trim(text)
-    return (t == "") | t.rlike(HEADER_LABEL) | t.rlike(AUTHOR_LINE) | (t.rlike(PUBLISHING) & (F.length(t) < 200)) | t.rlike(PAGE_NUMBER)
+    return let(F.trim(text), lambda t: (t == "") | t.rlike(HEADER_LABEL) | t.rlike(AUTHOR_LINE) | (t.rlike(PUBLISHING) & (F.length(t) < 200)) | t.rlike(PAGE_NUMBER))
 
 
 def is_artifact_line(text: Column) -> Column:
-    v = line_without_tags(text)
-    return (
-        (v == "") | ~v.rlike(r"[A-Za-zऀ-ॿ]") | v.rlike(ADVERT) | v.rlike(PAGE_NUMBER) | v.rlike(r"^[_?\- .|]{5,}$") | (v.rlike(PUBLISHING) & (F.length(v) <= 220))
+    return let(
+        line_without_tags(text),
+        lambda v: (v == "")
+        | ~v.rlike(r"[A-Za-zऀ-ॿ]")
+        | v.rlike(ADVERT)
+        | v.rlike(PAGE_NUMBER)
+        | v.rlike(r"^[_?\- .|]{5,}$")
+        | (v.rlike(PUBLISHING) & (F.length(v) <= 220)),
     )
 
 
 def is_contents_block(text: Column) -> Column:
-    v = line_without_tags(text)
-    return v.rlike(CONTENTS_HEADING) | (F.size(F.regexp_extract_all(v, F.lit(NUMBERED_ITEM), F.lit(0))) >= 5)
+    return let(line_without_tags(text), lambda v: v.rlike(CONTENTS_HEADING) | (F.size(F.regexp_extract_all(v, F.lit(NUMBERED_ITEM), F.lit(0))) >= 5))
 
 
 def is_artifact_block(text: Column) -> Column:
-    v = line_without_tags(text)
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: line_without_tags(x) != "")
-    return (
-        (v == "")
-        | is_contents_block(v)
-        | (F.exists(lines, lambda x: line_without_tags(x).rlike(FIELD_LABEL)) & (F.length(v) <= 260))
-        | F.forall(lines, is_artifact_line)
-        | (v.rlike(ADVERT) & ~v.rlike(r"[ऀ-ॿ]"))
+    whole = let(
+        line_without_tags(text),
+        lambda v: F.when(v == "", True)
+        .when(v.rlike(CONTENTS_HEADING) | (F.size(F.regexp_extract_all(v, F.lit(NUMBERED_ITEM), F.lit(0))) >= 5), True)
+        .when((F.length(v) <= 260) & F.exists(F.split(text, r"\r?\n"), lambda x: line_without_tags(x).rlike(FIELD_LABEL)), True)
+        .when(v.rlike(ADVERT) & ~v.rlike(r"[ऀ-ॿ]"), True)
+        .otherwise(False),
     )
+    return whole | F.forall(F.split(text, r"\r?\n"), is_artifact_line)
 
 
 def ends_sentence(text: Column) -> Column:
     """Danda, question or exclamation mark, or a full stop after no abbreviation and more than an initial."""
-    t = F.trim(text)
-    last = F.lower(F.regexp_replace(F.element_at(F.split(t, r"\s+"), -1), "['\"”’]$", ""))
-    short = last.isin([f"{a}." for a in ABBREVIATIONS]) | (F.length(last) <= 2)
-    return F.when(t.rlike("[।॥!?]['\"”’]?$"), True).when(t.rlike("\\.['\"”’]?$"), ~short).otherwise(False)
+    stops = [f"{a}." for a in ABBREVIATIONS]
+    last = lambda t: F.lower(F.regexp_replace(F.regexp_extract(t, r"(\S+)$", 1), "['\"”’]$", ""))
+    full = lambda t: let(last(t), lambda w: ~(w.isin(stops) | (F.length(w) <= 2)))
+    return let(F.trim(text), lambda t: F.when(t.rlike("[।॥!?]['\"”’]?$"), True).when(t.rlike("\\.['\"”’]?$"), full(t)).otherwise(False))
 
 
 def usable_embedded_text(text: Column) -> Column:

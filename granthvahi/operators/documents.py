@@ -63,7 +63,7 @@ def drop_repeated_lines(blocks: DataFrame, key: str, often: int = 3, longest: in
     """Blocks without artifact lines and without artifact lines repeated ``often`` in a document."""
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: ~T.is_artifact_line(x))
     page = F.col("tag") == "metadata_page"
-    return blocks.withColumn("text", F.when(page, F.col("text")).otherwise(F.array_join(F.transform(lines, F.trim), "\n"))).where("text <> ''")
+    return blocks.withColumn("text", F.when(page, F.col("text")).otherwise(F.array_join(F.transform(lines, lambda x: F.trim(x)), "\n"))).where("text <> ''")
 
 
 def join_parts(parts: Column) -> Column:

@@ -7,19 +7,20 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import clock_seconds, consonants, page_query, roman_note, romanize, tokens
+from ..functions.text import clock_seconds, consonants, let, page_query, roman_note, romanize, tokens
 
 
-@pandas_udf("double")
+@pandas_udf(ty.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matches / length of both by longest matching blocks; 0 beside a null."""
     ratio = lambda x, y: 0.0 if x is None or y is None else SequenceMatcher(None, x, y).ratio()
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@pandas_udf("struct<omissions:array<string>,additions:array<string>,coverage:double>")
+@pandas_udf(ty.StructType([ty.StructField("omissions", ty.ArrayType(ty.StringType())), ty.StructField("additions", ty.ArrayType(ty.StringType())), ty.StructField("coverage", ty.DoubleType())]))
 def token_difference(expected: pd.Series, heard: pd.Series) -> pd.DataFrame:
     """Words left out, words put in, and the share of expected words that were heard."""
     out = []
@@ -39,9 +40,9 @@ def token_difference(expected: pd.Series, heard: pd.Series) -> pd.DataFrame:
 def word_errors(expected: Column, heard: Column) -> Column:
     """Edits between two arrays of words: each word becomes one character of its own, so
     the built-in distance counts words. Up to 6,000 different words in a pair."""
-    both = F.array_distinct(F.concat(expected, heard))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: _sign(F.array_position(both, w))), "")
-    return F.levenshtein(coded(expected), coded(heard))
+    pair = F.struct(expected.alias("a"), heard.alias("b"), F.array_distinct(F.concat(expected, heard)).alias("both"))
+    coded = lambda x, ws: F.array_join(F.transform(ws, lambda w: _sign(F.array_position(x["both"], w))), "")
+    return let(pair, lambda x: F.when(x["a"] == x["b"], 0).otherwise(F.levenshtein(coded(x, x["a"]), coded(x, x["b"]))))
 
 
 def _sign(position: Column) -> Column:
@@ -51,11 +52,14 @@ def _sign(position: Column) -> Column:
 
 def error_rates(expected: Column, heard: Column) -> Column:
     """wer and cer (4 places) of texts; null where nothing was expected."""
-    a, b = tokens(expected), tokens(heard)
-    ja, jb = F.array_join(a, " "), F.array_join(b, " ")
-    return F.struct(
-        F.round(word_errors(a, b) / F.nullif(F.size(a), F.lit(0)), 4).alias("wer"), F.round(F.levenshtein(ja, jb) / F.nullif(F.length(ja), F.lit(0)), 4).alias("cer")
-    )
+    def rates(x: Column) -> Column:
+        n, m = F.nullif(F.size(x["a"]), F.lit(0)), F.nullif(F.length(x["ja"]), F.lit(0))
+        letters = F.when(x["ja"] == x["jb"], 0).otherwise(F.levenshtein(x["ja"], x["jb"]))
+        return F.struct(F.round(word_errors(x["a"], x["b"]) / n, 4).alias("wer"), F.round(letters / m, 4).alias("cer"))
+
+    words = F.struct(tokens(expected).alias("a"), tokens(heard).alias("b"))
+    both = let(words, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), F.array_join(w["a"], " ").alias("ja"), F.array_join(w["b"], " ").alias("jb")))
+    return let(both, rates)
 
 
 def is_latin_transcript(text: Column) -> Column:
@@ -63,7 +67,7 @@ def is_latin_transcript(text: Column) -> Column:
     return text.rlike("[A-Za-z]") & ~text.rlike("[ऀ-ॿ]")
 
 
-def phrase_matches(notes: DataFrame, passages: DataFrame, keys: list[str], best: int = 3, least: float = 0.55, block: int = 2) -> DataFrame:
+def phrase_matches(notes: DataFrame, passages: DataFrame, keys: list[str], best: int = 3, least: float = 0.55, block: int = 3) -> DataFrame:
     """Sentences that sound like a reviewer's romanised note: keys, note_id, passage_id,
     sentence_no, window, score (4 places), rank by score.
 

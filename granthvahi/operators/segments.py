@@ -124,6 +124,6 @@ def make_segments(blocks: DataFrame, key: str, sentences: int = 8, limit: int =
 
 def breath_groups(text: Column) -> Column:
     """Array of (text, pause_ms): parts that end at a mark, with the pause it asks for."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[।॥?!,])"), F.trim), lambda p: p != "")
-    pause = lambda p: F.when(p.rlike("[।॥]$"), 700).when(p.rlike("[?!]$"), 700).when(p.endswith(","), 350).otherwise(150)
+    parts = F.filter(F.transform(F.split(text, r"(?<=[।॥?!,])"), lambda p: F.trim(p)), lambda p: p != "")
+    pause = lambda p: F.when(F.substring(p, -1, 1).isin("।", "॥", "?", "!"), 700).when(p.endswith(","), 350).otherwise(150)
     return F.transform(parts, lambda p: F.struct(p.alias("text"), pause(p).alias("pause_ms")))

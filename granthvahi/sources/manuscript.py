@@ -8,6 +8,7 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 from pyspark.sql.functions import pandas_udf
 
 # The grammar's fields with their defaults, and what voices take.
@@ -86,7 +87,7 @@ def _markup_fault(text: str | None) -> str | None:
     return None if "".join(root.itertext()).strip() and root.tag.rpartition("}")[2] == "speak" else "empty"
 
 
-@pandas_udf("string")
+@pandas_udf(ty.StringType())
 def markup_fault(text: pd.Series) -> pd.Series:
     """What is wrong with a passage's markup, null if nothing: no parser of XML is built in that tells."""
     return text.map(_markup_fault)
