@@ -226,7 +226,7 @@ def plain_speech(text: Column) -> Column:
 def speaking_rate(rate: Column, low: float = 0.25) -> Column:
     """'+10%' as 1.1, clamped to low..2; 1.0 if it can't be read."""
     n = F.regexp_extract(F.coalesce(rate, F.lit("")), r"^([+-]?\d+)%$", 1).try_cast("double")
-    return F.coalesce(F.least(F.lit(2.0), F.greatest(F.lit(low), 1 + n / 100)), F.lit(1.0))
+    return F.when(n.isNull(), 1.0).otherwise(F.least(F.lit(2.0), F.greatest(F.lit(low), 1 + n / 100)))
 
 
 def escape_markup(text: Column) -> Column:

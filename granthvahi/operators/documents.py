@@ -70,7 +70,7 @@ def join_parts(parts: Column) -> Column:
     """Parts of a broken block: a hyphen at the end joins words, a catchword is dropped."""
 
     def add(done: Column, part: Column) -> Column:
-        last, first = F.element_at(F.split(done, r"\s+"), -1), F.element_at(F.split(part, r"\s+"), 1)
+        last, first = F.regexp_extract(done, r"(\S+)\s*$", 1), F.regexp_extract(part, r"^(\S+)", 1)
         rest = F.when(last == first, F.trim(F.substr(part, F.length(first) + 1))).otherwise(part)
         hyphen = F.concat(F.regexp_replace(done, r"-\s*$", ""), part)
         return F.when(done == "", part).when(done.rlike(r"[\p{L}\p{N}_]-\s*$"), hyphen).otherwise(F.concat_ws(" ", done, rest))

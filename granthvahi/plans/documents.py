@@ -108,7 +108,7 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT segment_key, md5(array_to_string(list_transform(g, lambda p: p || '|' || CASE WHEN regexp_matches(p, '[।॥?!]$') THEN '700' WHEN regexp_matches(p, ',$') THEN '350' ELSE '150' END), ';')) AS groups
-    FROM (SELECT segment_key, list_filter(list_transform(string_split(regexp_replace(source_text, '([।॥?!,])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS g FROM {SEGMENTS_SQL})""")
+    FROM (SELECT segment_key, list_filter(list_transform(string_split(regexp_replace(source_text, '([।॥?!,])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS g FROM {SEGMENTS_SQL})""")
 def breath_groups(spark: SparkSession, d: str) -> DataFrame:
     g = F.transform(seg.breath_groups(F.col("source_text")), lambda x: F.concat_ws("|", x["text"], x["pause_ms"].cast("string")))
     return segments(spark, d, "segment_key", "source_text").select("segment_key", F.md5(F.array_join(g, ";")).alias("groups"))
@@ -359,7 +359,7 @@ def book_metadata(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", title.alias("title"), T.year_in(F.col("book_identifier")).alias("year"), T.file_stem(F.col("name")).alias("stem"), T.slug(F.col("name")).alias("slug"))
 
 
-@query(f"""SELECT rate, coalesce(least(2.0::DOUBLE, greatest(0.25::DOUBLE, 1 + TRY_CAST(nullif(regexp_extract(rate, '^([+-]?\\d+)%$', 1), '') AS DOUBLE) / 100)), 1.0::DOUBLE) AS speaking_rate, count(*) AS n FROM {PASSAGES_SQL} GROUP BY rate""")
+@query(f"""SELECT rate, CASE WHEN regexp_matches(rate, '^[+-]?\\d+%$') THEN least(2.0::DOUBLE, greatest(0.25::DOUBLE, 1 + CAST(regexp_extract(rate, '^([+-]?\\d+)%$', 1) AS DOUBLE) / 100)) ELSE 1.0::DOUBLE END AS speaking_rate, count(*) AS n FROM {PASSAGES_SQL} GROUP BY rate""")
 def speaking_rates(spark: SparkSession, d: str) -> DataFrame:
     return passages(spark, d).groupBy("rate").agg(F.count("*").alias("n")).withColumn("speaking_rate", T.speaking_rate(F.col("rate")))
 
