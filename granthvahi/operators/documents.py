@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from .ordered import last_known, numbered, running_sum, with_neighbour
 
 # Tags that may be stitched, and those that head a section.
@@ -81,7 +82,7 @@ def join_parts(parts: Column) -> Column:
 def stitch(blocks: DataFrame, key: str) -> DataFrame:
     """Neighbouring prose blocks of which the first doesn't end a sentence become one."""
     rows = numbered(blocks, [key], "seq", "_n").withColumn("_run", F.col("tag").isin(*STITCHED)).withColumn("_open", ~T.ends_sentence(F.col("text")))
-    rows = with_neighbour(rows, [key], "_n", ["_run", "_open"], -1, "_before")
+    rows = with_neighbour(cut(rows), [key], "_n", ["_run", "_open"], -1, "_before")
     joins = F.col("_run") & F.coalesce(F.col("_run_before") & F.col("_open_before"), F.lit(False))
     rows = running_sum(rows, [key], "seq", F.when(joins, 0).otherwise(1), "_island")
     parts = F.array_sort(F.collect_list(F.struct("seq", "tag", "text")))
@@ -93,8 +94,11 @@ def clean_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The whole cleaning of tagged text: key, seq, tag, text of the blocks that are read aloud."""
     prepared = T.pipes_to_dandas(T.repair_tags(T.drop_page_breaks(F.col(text))))
     blocks = parse_blocks(docs.select(F.col(key), prepared.alias("_text")), key, "_text")
-    blocks = drop_front_matter(drop_artifacts(blocks), key)
-    return stitch(drop_repeated_lines(drop_repeated_headings(blocks, key), key), key)
+    # ordered steps read their input more than once: what is costly is written down between them
+    blocks = cut(drop_artifacts(blocks))
+    blocks = cut(drop_front_matter(blocks, key))
+    blocks = cut(drop_repeated_lines(drop_repeated_headings(blocks, key), key))
+    return stitch(blocks, key)
 
 
 def render_blocks(blocks: DataFrame, key: str) -> DataFrame:

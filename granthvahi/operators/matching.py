@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 from pyspark.sql.functions import pandas_udf
 
+from ..session import cut
 from ..functions.text import clock_seconds, consonants, let, page_query, roman_note, romanize, tokens
 
 
@@ -84,12 +85,14 @@ def phrase_matches(notes: DataFrame, passages: DataFrame, keys: list[str], best:
     words, n = F.split("_c", " "), F.size(F.split("_q", " "))
     widths = F.filter(F.sequence(F.greatest(n - 1, F.lit(1)), n + 3), lambda w: w <= F.size(words))
     windows = F.flatten(F.transform(widths, lambda w: F.transform(F.sequence(F.lit(1), F.size(words) - w + 1), lambda i: F.array_join(F.slice(words, i, w), " "))))
-    scored = pairs.withColumn("window", F.explode(F.when(F.size(windows) > 0, windows).otherwise(F.array("_c"))))
+    # of a sentence's windows the nearest by edit distance is scored, so one pair asks Python once
+    near = F.array_min(F.transform(windows, lambda w: F.struct(F.levenshtein(F.col("_q"), w).alias("d"), w.alias("w"))))["w"]
+    scored = cut(pairs.select(*keys, "note_id", "passage_id", "sentence_no", "_q", F.coalesce(near, F.col("_c")).alias("window")))
     score = F.greatest(similarity(F.col("_q"), F.col("window")), similarity(consonants(F.col("_q")), consonants(F.col("window"))))
-    per = scored.withColumn("score", F.round(score, 4)).groupBy(*keys, "note_id", "passage_id", "sentence_no").agg(F.max_by("window", F.struct("score", "window")).alias("window"), F.max("score").alias("score"))
+    per = scored.withColumn("score", F.round(score, 4))
     # the best of each note are kept by a bounded sort inside the aggregate
     listed = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", "passage_id", "sentence_no", "window")))), 1, best)
-    top = per.where(F.col("score") >= least).groupBy(*keys, "note_id").agg(listed.alias("_b"))
+    top = cut(per.drop("_q")).where(F.col("score") >= least).groupBy(*keys, "note_id").agg(listed.alias("_b"))
     return top.select(*keys, "note_id", F.posexplode("_b").alias("rank", "_x")).select(*keys, "note_id", (F.col("rank") + 1).alias("rank"), "_x.passage_id", "_x.sentence_no", "_x.window", "_x.score")
 
 

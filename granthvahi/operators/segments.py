@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ABBREVIATIONS, squeeze
+from ..session import cut
 from .ordered import last_known, numbered
 
 # The pause after a chunk in milliseconds by kind.
@@ -111,8 +112,9 @@ def chunk_ids(rows: DataFrame, keys: list[str], order: str, name: str = "id") ->
 
 def make_segments(blocks: DataFrame, key: str, sentences: int = 8, limit: int = 1400) -> DataFrame:
     """key, seq, id, source_text, segment_type, pause_after_ms, page, paragraph of the whole pipeline."""
-    rows = paragraphs(carry_pages(blocks, key), key).where("text <> ''")
-    chunks = rows.select(key, "seq", "part", "tag", "page", "paragraph", F.posexplode(pack_pieces(F.col("text"), sentences, limit)).alias("k", "c"), F.size(pack_pieces(F.col("text"), sentences, limit)).alias("_k"))
+    rows = paragraphs(carry_pages(cut(blocks), key), key).where("text <> ''")
+    packed = cut(rows.select(key, "seq", "part", "tag", "page", "paragraph", pack_pieces(F.col("text"), sentences, limit).alias("_c")))
+    chunks = packed.select("*", F.posexplode("_c").alias("k", "c"), F.size("_c").alias("_k"))
     kind = speech_kind(F.col("c.text"), F.col("tag"))
     out = chunks.select(
         key, (F.col("seq") * 100_000_000 + F.col("part") * 10_000 + F.col("k")).alias("_o"), F.col("c.text").alias("source_text"), kind.alias("segment_type"),
