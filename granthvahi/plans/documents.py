@@ -380,3 +380,17 @@ def escaped_passages(spark: SparkSession, d: str) -> DataFrame:
     """Passages as they are put into markup, and whether that keeps every letter."""
     e: Column = T.escape_markup(F.col("text"))
     return passages(spark, d).select("doc_id", "id", F.md5(e).alias("escaped"), T.same_letters(F.col("text"), e).alias("kept"))
+
+
+@query(f"""SELECT doc_id, md5(string_agg('<prosody rate="' || rate || '" pitch="' || pitch || '" volume="' || volume || '">' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(10), '<break time="450ms"/>')
+    || '</prosody><break time="' || pause || 'ms"/>', chr(10) ORDER BY id)) AS markup FROM {PASSAGES_SQL} GROUP BY doc_id""")
+def rendered_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Each book as speech markup: pace around the text, breaks between lines and after passages."""
+    return manuscript.render_markup(passages(spark, d), "doc_id", "id").select("doc_id", F.md5("markup").alias("markup"))
+
+
+@query()
+def pronunciation_audits(spark: SparkSession, d: str) -> DataFrame:
+    """What the lexicon changed in each passage that it changed, as a row of its audit."""
+    rows = passages(spark, d).select("doc_id", "id", "text", lex.pronounce(F.col("text")).alias("spoken"))
+    return rows.where("text <> spoken").select("doc_id", "id", F.lit("phonetics").alias("stage"), F.lit("lexicon").alias("kind"), F.md5("text").alias("source"), F.md5("spoken").alias("replacement"))

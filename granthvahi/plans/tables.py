@@ -307,3 +307,32 @@ def books_without_timeline(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["owner", "key"], "left_anti").distinct()
 
 
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before""")
+def revision_stack(spark: SparkSession, d: str) -> DataFrame:
+    """Of rows that repeat what stood before them, the first."""
+    rows = numbered(load(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "n")
+    rows = with_neighbour(rows, ["user_id"], "n", ["event_type"], -1, "_before")
+    return rows.where(~F.col("event_type").eqNullSafe(F.col("event_type_before"))).select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT event_type, round(avg(least(1.0::DOUBLE, greatest(0.0::DOUBLE, value / 100 - 1))), 4) AS confidence, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def confidence_mean(spark: SparkSession, d: str) -> DataFrame:
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100 - 1))
+    return load(spark, d, "events").where("value is not null").groupBy("event_type").agg(F.round(F.avg(clamped), 4).alias("confidence"), F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, count(*) AS n_chunks, CAST(sum(round((end_seconds - start_seconds) * 1000)) AS BIGINT) AS total_ms, CAST(sum(CASE WHEN source_text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_without_text
+    FROM (SELECT DISTINCT doc_id, chunk_id, start_seconds, end_seconds, source_text FROM offsets) GROUP BY doc_id""")
+def build_totals(spark: SparkSession, d: str) -> DataFrame:
+    ms = F.round((F.col("end_seconds") - F.col("start_seconds")) * 1000).cast("bigint")
+    return offsets(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(ms).alias("total_ms"), F.sum(F.col("source_text").isNull().cast("bigint")).alias("n_without_text"))
+
+
+@query(f"""SELECT c.segment_key, p.segment_key AS predecessor_key FROM {SEGMENTS_SQL} c LEFT JOIN {SEGMENTS_SQL} p ON p.doc_id = c.doc_id AND p.seq = c.seq - 1""")
+def predecessors(spark: SparkSession, d: str) -> DataFrame:
+    """A self join on the number before: an equi join, whatever the group's size."""
+    c = segments(spark, d, "segment_key", "doc_id", "seq")
+    p = c.select(F.col("segment_key").alias("predecessor_key"), F.col("doc_id").alias("_d"), (F.col("seq") + 1).alias("_s"))
+    return c.join(p, (F.col("doc_id") == F.col("_d")) & (F.col("seq") == F.col("_s")), "left").select("segment_key", "predecessor_key")

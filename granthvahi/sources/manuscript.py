@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.text import escape_markup
+
 # The grammar's fields with their defaults, and what voices take.
 FIELDS = {
     "PAGE": ("page", "?"), "PDF_PAGE": ("pdf_page", "?"), "TYPE": ("kind", "prose"), "PAUSE_AFTER_MS": ("pause", "600"), "RATE": ("rate", "+0%"),
@@ -99,3 +101,11 @@ def unsupported_knobs(passages: DataFrame, provider: Column) -> DataFrame:
     takes = F.coalesce(F.try_element_at(table, provider), F.array().cast("array<string>"))
     knob = lambda c, d: F.when((F.col(c) != d) & ~F.array_contains(takes, c), F.lit(c))
     return passages.select("id", F.explode(F.array_compact(F.array(knob("rate", "+0%"), knob("pitch", "+0Hz"), knob("volume", "+0%")))).alias("knob"))
+
+
+def render_markup(passages: DataFrame, key: str, order: str, line_break_ms: int = 450) -> DataFrame:
+    """key, markup: the passages of each book as speech markup, in order."""
+    text = F.replace(escape_markup(F.col("text")), F.lit("\n"), F.lit(f'<break time="{line_break_ms}ms"/>'))
+    one = F.format_string('<prosody rate="%s" pitch="%s" volume="%s">%s</prosody><break time="%sms"/>', "rate", "pitch", "volume", text, F.col("pause").cast("string"))
+    listed = F.array_sort(F.collect_list(F.struct(order, one.alias("_m"))))
+    return passages.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["_m"]), "\n").alias("markup"))
