@@ -127,7 +127,9 @@ def split_oversized(items: DataFrame, keys: list[str], text: str, limit: int, ov
     size = F.length("_text") if unit == "characters" else F.octet_length("_text")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"{k} {kinds[k]}" for k in ks) + ", piece bigint, start_at bigint, end_at bigint, piece_text string"
-    out = rows.where(size > limit).dropDuplicates().mapInArrow(_split_rows(limit, overlap, unit, ks), schema)
+    # planning costs far more than the rows' bytes tell: as many tasks as a shuffle has, not coalesced by size
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.where(size > limit).repartition(tasks, *ks, "_text").dropDuplicates().mapInArrow(_split_rows(limit, overlap, unit, ks), schema)
     if not oversized_only:
         zero = F.lit(0).cast("bigint")
         whole = rows.where(size <= limit).dropDuplicates()
