@@ -169,4 +169,17 @@ def oracle_sql() -> dict[str, str]:
             UNION
             SELECT DISTINCT 'passage' AS kind, p.doc_id, p.id FROM passages p, size_limits l
             WHERE l.limit_name = 'passage_size' AND strlen(p.text) > l.max_size""",
+        "p5_found": r"""
+            WITH x AS (SELECT DISTINCT doc_id, issue_id, lower(trim(translate(timestamp, '०१२३४५६७८९', '0123456789'))) AS s FROM feedback),
+            p AS (SELECT *, regexp_extract(s, '^(\d+)[:.](\d{1,2})[:.](\d{1,2})$', ['h', 'm', 's']) AS a, regexp_extract(s, '^(\d+)[:.](\d{1,2})$', ['m', 's']) AS b,
+                  regexp_extract(s, '^(?:(\d+)\s*h)?\s*(?:(\d+)\s*m)?\s*(?:(\d+)\s*s)?$', ['h', 'm', 's']) AS c FROM x),
+            n AS (SELECT doc_id, issue_id, CASE WHEN regexp_full_match(s, '\d+') THEN CAST(s AS DOUBLE)
+                  WHEN a.h <> '' AND CAST(a.m AS INT) < 60 AND CAST(a.s AS INT) < 60 THEN CAST(a.h AS DOUBLE) * 3600 + CAST(a.m AS DOUBLE) * 60 + CAST(a.s AS DOUBLE)
+                  WHEN b.m <> '' AND CAST(b.s AS INT) < 60 THEN CAST(b.m AS DOUBLE) * 60 + CAST(b.s AS DOUBLE)
+                  WHEN c.h || c.m || c.s <> '' THEN coalesce(TRY_CAST(c.h AS DOUBLE), 0) * 3600 + coalesce(TRY_CAST(c.m AS DOUBLE), 0) * 60 + coalesce(TRY_CAST(c.s AS DOUBLE), 0) END AS t FROM p),
+            o AS (SELECT DISTINCT doc_id, chunk_id, start_seconds FROM offsets WHERE start_seconds IS NOT NULL AND chunk_id IS NOT NULL)
+            SELECT doc_id, issue_id, chunk_id FROM (
+                SELECT n.doc_id, n.issue_id, o.chunk_id, row_number() OVER (PARTITION BY n.doc_id, n.issue_id ORDER BY round(abs(o.start_seconds - n.t), 6), o.start_seconds, o.chunk_id) AS r
+                FROM n JOIN o ON o.doc_id = n.doc_id JOIN size_limits l ON l.limit_name = 'note_distance'
+                WHERE n.t IS NOT NULL AND round(abs(o.start_seconds - n.t), 6) <= l.max_size) WHERE r = 1""",
     }
