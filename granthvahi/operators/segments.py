@@ -44,13 +44,14 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit(_HOLD), F.lit(".")))), lambda s: s != "")
 
 
-def wrap_words(sentence: Column, limit: int) -> Column:
-    """Pieces of at most ``limit`` characters, cut at blanks. A longer word is an error."""
+def wrap_words(sentence: Column, limit: int, strict: bool = True) -> Column:
+    """Pieces of at most ``limit`` characters, cut at blanks. A longer word is an error,
+    or where not ``strict`` a piece of its own."""
     words = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
 
     def add(a: Column, w: Column) -> Column:
         fits = (a["now"] == "") | (F.length(a["now"]) + 1 + F.length(w) <= limit)
-        safe = F.when(F.length(w) > limit, F.raise_error(F.concat(F.lit(f"a word exceeds {limit} characters: "), w)).cast("string")).otherwise(w)
+        safe = w if not strict else F.when(F.length(w) > limit, F.raise_error(F.concat(F.lit(f"a word exceeds {limit} characters: "), w)).cast("string")).otherwise(w)
         return F.when(fits, F.struct(a["done"].alias("done"), F.trim(F.concat_ws(" ", a["now"], safe)).alias("now"))).otherwise(
             F.struct(F.array_append(a["done"], a["now"]).alias("done"), safe.alias("now"))
         )
@@ -61,8 +62,9 @@ def wrap_words(sentence: Column, limit: int) -> Column:
 
 def pack_pieces(text: Column, sentences: int = 8, limit: int = 1400) -> Column:
     """Chunks of a paragraph: array of (text, pieces, closed). A chunk takes pieces while
-    they fit ``limit`` characters, and at a sentence's end no more than ``sentences`` pieces."""
-    per_sentence = F.transform(split_sentences(text), lambda s: wrap_words(s, limit))
+    they fit ``limit`` characters, and at a sentence's end no more than ``sentences`` pieces.
+    A longer word is a chunk of its own, which ``chunk_fault`` names."""
+    per_sentence = F.transform(split_sentences(text), lambda s: wrap_words(s, limit, strict=False))
     pieces = F.flatten(F.transform(per_sentence, lambda ps: F.transform(ps, lambda p, i: F.struct(p.alias("p"), (i == F.size(ps) - 1).alias("end")))))
     chunk = lambda t, n, e: F.struct(t.alias("text"), n.alias("pieces"), e.alias("closed"))
 
@@ -81,6 +83,11 @@ def pack_pieces(text: Column, sentences: int = 8, limit: int = 1400) -> Column:
     return F.aggregate(pieces, zero, add, lambda a: F.when(a["n"] == 0, a["done"]).otherwise(F.array_append(a["done"], chunk(a["t"], a["n"], a["e"]))))
 
 
+def chunk_fault(text: Column, limit: int = 1400) -> Column:
+    """'word_too_long' for a chunk beyond the limit, which only a single word can be; else null."""
+    return F.when(F.length(text) > limit, "word_too_long")
+
+
 def speech_kind(text: Column, tag: Column) -> Column:
     """The kind a chunk is spoken as: prose is told apart by its marks and first words."""
     t = F.trim(text)
@@ -111,7 +118,7 @@ def chunk_ids(rows: DataFrame, keys: list[str], order: str, name: str = "id") ->
 
 
 def make_segments(blocks: DataFrame, key: str, sentences: int = 8, limit: int = 1400) -> DataFrame:
-    """key, seq, id, source_text, segment_type, pause_after_ms, page, paragraph of the whole pipeline."""
+    """key, seq, id, source_text, segment_type, pause_after_ms, page, paragraph, fault of the whole pipeline."""
     rows = paragraphs(carry_pages(cut(blocks), key), key).where("text <> ''")
     packed = cut(rows.select(key, "seq", "part", "tag", "page", "paragraph", pack_pieces(F.col("text"), sentences, limit).alias("_c")))
     chunks = packed.select("*", F.posexplode("_c").alias("k", "c"), F.size("_c").alias("_k"))
@@ -119,6 +126,7 @@ def make_segments(blocks: DataFrame, key: str, sentences: int = 8, limit: int =
     out = chunks.select(
         key, (F.col("seq") * 100_000_000 + F.col("part") * 10_000 + F.col("k")).alias("_o"), F.col("c.text").alias("source_text"), kind.alias("segment_type"),
         pause_after(kind, F.col("tag"), F.col("c.closed"), F.col("k") == F.col("_k") - 1).alias("pause_after_ms"), "page", "paragraph",
+        chunk_fault(F.col("c.text"), limit).alias("fault"),
     )
     out = numbered(out, [key], "_o", "seq", span=5_000_000_000_000)
     return out.withColumn("id", F.format_string("chunk_%04d", "seq")).drop("_o")

@@ -92,10 +92,10 @@ def clean_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def document_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Narration segments of every document. A longer word than a chunk may hold would be
-    an error of the data; the limit leaves room for any."""
-    out = seg.make_segments(_blocks(spark, d), "doc_id", 8, 200_000)
-    return out.select("doc_id", "seq", "id", F.md5("source_text").alias("text"), "segment_type", "pause_after_ms", "page", "paragraph")
+    """Narration segments of every document: chunks of 8 pieces and 1,400 characters.
+    A word that is longer is a segment of its own with a fault."""
+    out = seg.make_segments(_blocks(spark, d), "doc_id", 8, 1400)
+    return out.select("doc_id", "seq", "id", F.md5("source_text").alias("text"), "segment_type", "pause_after_ms", "page", "paragraph", "fault")
 
 
 @query(f"""SELECT segment_key, len(s) AS n, md5(array_to_string(s, '|')) AS listed FROM (SELECT segment_key, list_filter(list_transform(string_split(
@@ -123,9 +123,9 @@ def speech_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of every segment's text by the two limits."""
-    c = F.posexplode(seg.pack_pieces(T.squeeze(F.col("source_text")), 3, 100_000)).alias("chunk", "c")
-    return segments(spark, d, "segment_key", "source_text").select("segment_key", c).select("segment_key", "chunk", F.md5("c.text").alias("text"), F.col("c.pieces").alias("pieces"), F.col("c.closed").alias("closed"))
+    """Chunks of every segment's text by the two limits; a word beyond 1,400 characters is a chunk of its own with a fault."""
+    c = F.posexplode(seg.pack_pieces(T.squeeze(F.col("source_text")), 3, 1400)).alias("chunk", "c")
+    return segments(spark, d, "segment_key", "source_text").select("segment_key", c).select("segment_key", "chunk", F.md5("c.text").alias("text"), F.col("c.pieces").alias("pieces"), F.col("c.closed").alias("closed"), seg.chunk_fault(F.col("c.text")).alias("fault"))
 
 
 def _count(mark: str) -> str:

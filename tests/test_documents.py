@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -72,6 +73,48 @@ def test_a_word_beyond_the_limit_is_an_error(spark):
         spark.createDataFrame([("x" * 50,)], "t string").select(segments.wrap_words(F.col("t"), 10).alias("w")).collect()
 
 
+def test_a_word_beyond_the_limit_is_a_chunk_with_a_fault(spark):
+    text = "aa bb " + "x" * 30 + " cc. Dd."
+    df = spark.createDataFrame([(text,)], "t string").select(F.explode(segments.pack_pieces(F.col("t"), 8, 10)).alias("c"))
+    got = [tuple(r) for r in df.select("c.text", "c.closed", segments.chunk_fault(F.col("c.text"), 10)).collect()]
+    assert got == [("aa bb", False, None), ("x" * 30, False, "word_too_long"), ("cc. Dd.", True, None)]
+
+
+def test_registered_chunks_hold_both_limits(spark, tmp_path):
+    """Against a sequential model: sentences longer than 1,400 characters are cut inside, with no pause there."""
+    from granthvahi.plans import QUERIES
+
+    sentence = " ".join(["word"] * 700) + "."
+    texts = [sentence, " ".join(["one two."] * 400).replace(". o", ". O"), "z" * 1500]
+    spark.createDataFrame([(1, f"<prose>{texts[0]}</prose><prose>{texts[1]}</prose><prose>{texts[2]}</prose>")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, 1, f"c{i}", i, t, "prose", 0, 1, 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "segment_key bigint, doc_id int, id string, seq int, source_text string, segment_type string, pause_after_ms int, page int, paragraph int").write.parquet(f"{tmp_path}/segments.parquet")
+
+    def model(text, most):
+        chunks, now, ended = [], [], True
+        for s in re.split(r"(?<=\.)\s+(?=[A-Z])", text):
+            pieces, piece = [], ""
+            for w in s.split():
+                if piece and len(piece) + 1 + len(w) > 1400:
+                    pieces.append(piece)
+                    piece = ""
+                piece = f"{piece} {w}".strip()
+            pieces.append(piece)
+            for i, p in enumerate(pieces):
+                if now and (len(" ".join(now)) + 1 + len(p) > 1400 or len(now) >= most and ended):
+                    chunks.append((" ".join(now), ended))
+                    now = []
+                now.append(p)
+                ended = i == len(pieces) - 1
+        return [*chunks, (" ".join(now), ended)]
+
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    got = [(r["text"], r["pause_after_ms"], r["fault"]) for r in QUERIES["document_segments"](spark, str(tmp_path)).orderBy("seq").collect()]
+    assert got == [(md5(t), 220 if closed else 0, "word_too_long" if len(t) > 1400 else None) for x in texts for t, closed in model(x, 8)]
+    got = [(r["text"], r["closed"], r["fault"]) for r in QUERIES["greedy_chunks"](spark, str(tmp_path)).orderBy("segment_key", "chunk").collect()]
+    assert got == [(md5(t), closed, "word_too_long" if len(t) > 1400 else None) for x in texts for t, closed in model(x, 3)]
+
+
 def test_make_segments(spark):
     rows = [("metadata_page", "7"), ("heading", "अध्याय"), ("prose", "एक है। दो है?\n\nतीन है।"), ("metadata_page", "8"), ("shloka", "क ख ॥")]
     got = segments.make_segments(blocks(spark, rows), "doc_id").orderBy("seq").collect()
