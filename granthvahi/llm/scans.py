@@ -39,6 +39,9 @@ UNLIKELY = frozenset("पमवय")
 #: Characters that no word holds between letters: their misreading needs no vocabulary.
 ALIEN = re.compile(r"(?<=[ऀ-ॣॱ-ॿ઀-૥])\|(?=[ऀ-ॣॱ-ॿ઀-૥])|(?<=[઀-૥])૨|૨(?=[઀-૥])|(?<=[A-Za-zÀ-ɏ])[!1509](?=[a-zÀ-ɏ])")
 
+#: Occurrences in a million words that make an original sure: of words with alien characters, of 5 letters or more, of 4, of fewer.
+RATES = (0.0, 0.24, 0.64, 2.4)
+
 DIGITS = "0-9०-९০-৯૦-૯௦-௯۰-۹٠-٩"
 NUM = f"[{DIGITS}]{{1,4}}"
 PAGE_LINE = re.compile(rf"^\s*(?:[\[(~–—|-]{{0,2}}\s*{NUM}\s*[\])~–—|.-]{{0,2}}|(?:पृष्ठ|पान|पाना|page|seite|p\.|પાનું|પૃષ્ઠ|পৃষ্ঠা|صفحہ|பக்கம்|ページ|第)\s*{NUM}\s*[页頁]?|[ivxlc]{{2,7}}|[IVXLC]{{2,7}})\s*$", re.I)
@@ -142,50 +145,82 @@ def repairs(word: str, corpus: Corpus, most: int = 400) -> list[tuple[str, float
     return sorted(found.items(), key=lambda x: -x[1])
 
 
+def unknown(word: str, corpus: Corpus) -> bool:
+    """A word that the corpus doesn't know and that may be a misreading; a bar after a known word is a mark."""
+    if len(word) < 2 or corpus.count(word) >= 2 or CJK.search(word):
+        return False
+    return not (word.endswith("|") and corpus.count(word.rstrip("|")) >= 2)
+
+
 def decode(words: list[str], corpus: Corpus) -> list[str]:
     """The line's most likely words: Viterbi over each word and its possible originals."""
     states: list[list[tuple[str, float]]] = []
     for w in words:
         n = corpus.count(w)
         options = [(w, math.log((n if n >= 2 else 0.02) / corpus.total))]
-        if n < 2 and len(w) > 1 and not CJK.search(w):
+        if unknown(w, corpus):
             options += [(c, p + math.log(corpus.count(c) / corpus.total)) for c, p in repairs(w, corpus)[:8]]
         states.append(options)
     if all(len(s) == 1 for s in states):
         return words
+    done: list[str] = []
     best = [(score, [w]) for w, score in states[0]]
     for k in range(1, len(states)):
+        if len(best) == 1:  # all paths meet here: what came before is settled
+            done += best[0][1][:-1]
+            best = [(0.0, best[0][1][-1:])]
+        alone = len(best) == 1 == len(states[k])  # the link is the same for all paths
         new = []
         for w, score in states[k]:
             top = None
             for (old, path) in best:
-                link = math.log1p(corpus.pair(path[-1], w))
+                link = 0.0 if alone else math.log1p(corpus.pair(path[-1], w))
                 if top is None or old + link > top[0]:
                     top = (old + link, path)
             new.append((top[0] + score, top[1] + [w]))
         best = new
-    return max(best, key=lambda x: x[0])[1]
+    return done + max(best, key=lambda x: x[0])[1]
+
+
+def sure(word: str, original: str, corpus: Corpus) -> bool:
+    """Whether the original is frequent enough, as a share of all words, for a misreading of
+    this word's length. Less than 2 is no word of the corpus."""
+    letters = sum(c.isalpha() or ord(c) > 0x2FF for c in word)
+    rate = RATES[0] if ALIEN.search(word) or "|" in word or "ऱ" in word else RATES[1] if letters >= 5 else RATES[2] if letters >= 4 else RATES[3]
+    return corpus.count(original) >= max(2.0, rate * corpus.total / 1e6)
 
 
 def misread(word: str, corpus: Corpus) -> str | None:
     """The word's original if it is surely misread, "" if it is but the original is unknown."""
-    n = corpus.count(word)
-    if n >= 2 or len(word) < 2 or CJK.search(word):
-        return None
-    letters = sum(c.isalpha() or ord(c) > 0x2FF for c in word)
-    if word.endswith("|") and corpus.count(word.rstrip("|")) >= 2:
+    if not unknown(word, corpus):
         return None
     got = repairs(word, corpus)
     if got:
         best = max(got, key=lambda x: x[1] + math.log(corpus.count(x[0])))
-        need = 2 if ALIEN.search(word) or "|" in word or "ऱ" in word else 3 if letters >= 5 else 8 if letters >= 4 else 30
-        if corpus.count(best[0]) >= need and best[1] > -9.5:
+        if best[1] > -9.5 and sure(word, best[0], corpus):
             return best[0]
-    if letters >= 3 and ALIEN.search(word):
+    if sum(c.isalpha() or ord(c) > 0x2FF for c in word) >= 3 and ALIEN.search(word):
         return ""
     return None
 
 
+def misreadings(words: list[str], corpus: Corpus) -> dict[str, str]:
+    """Each misread word with its original: what decode changes, once it is sure, and
+    what it leaves that is surely misread by itself."""
+    doubtful = {w for w in words if unknown(w, corpus)}
+    if not doubtful:
+        return {}
+    fixed: dict[str, str] = {}
+    for old, new in zip(words, decode(words, corpus), strict=True):
+        if old != new and sure(old, new, corpus):
+            fixed.setdefault(old, new)
+    for w in doubtful - fixed.keys():
+        got = misread(w, corpus)
+        if got is not None:
+            fixed[w] = got
+    return fixed
+
+
 def _core(line: str) -> tuple[str, bool, str]:
     """The line without a header's marks, whether they are sure ones, and the number among them."""
     s = line.strip()
@@ -304,18 +339,9 @@ def damages(text: str, title: str | None, page: int | None, corpus: Corpus) -> t
     out = []
     for paragraph in paragraphs:
         joined = " ".join(paragraph)
-        words = words_of(joined)
-        fixed = {}
-        for w in set(words):
-            got = misread(w, corpus)
-            if got is not None:
-                found.add("misread")
-                fixed[w] = got
+        fixed = misreadings(words_of(joined), corpus)
         if fixed:
-            chosen = decode(words, corpus)
-            for old, new in zip(words, chosen, strict=True):
-                if old != new:
-                    fixed[old] = new
+            found.add("misread")
             joined = "".join(_cased(p, fixed) for p in re.split(r"(\s+)", joined))
         if joined:
             out.append(joined)

@@ -246,6 +246,22 @@ def test_repaired_text():
     assert out == ["वह पुस्तक पढ़ता है और जीवन में शक्ति है।"]
 
 
+@pytest.mark.parametrize("times", [1, 10, 60])
+def test_misreadings_are_what_decode_changes_at_any_corpus_size(times):
+    import pyarrow as pa
+
+    texts = ["the lamp is on the hill"] * 4 + ["the mind and the teacher was not a pupil in the village"] * 60
+    texts *= times
+    tabs = [np.zeros(n, np.uint32) for n in (scans.WORD_BUCKETS, scans.WORD_BUCKETS, scans.WORD_BUCKETS, scans.PAIR_BUCKETS)]
+    for r in scans._count_rows(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([False] * len(texts))], names=["text", "heading"])])):
+        for a, k, n in zip(*(c.to_pylist() for c in r.columns), strict=True):
+            tabs[a][k] += n
+    known = scans.Corpus(*tabs, float(tabs[0].sum()) + 1, 0.0, frozenset(["the"]))
+    assert scans.damages("the lamp is on the bill", None, None, known) == ({"misread"}, ["the lamp is on the hill"])
+    rare = scans.Corpus(*tabs, 1e8 * times, 0.0, frozenset(["the"]))  # the same page and shares: never sure
+    assert scans.damages("the lamp is on the bill", None, None, rare) == (set(), ["the lamp is on the bill"])
+
+
 FORMS = [
     ("यह मन है और वह घर में है। वह गया।", "prose"), ("• मन\n• जीवन साधना\n• घर\n• फल\n• गुरु", "list"), ("(1) मन ....... 5\n(2) जीवन ....... 8\n(3) घर ........ 12\n(4) फल ..... 15", "list"),
     ("मन | 12 | 3.5\nघर | 14 | 9\nफल | 9 | 1\nगुरु | 8 | 2", "table"), ("a,12,x\nb,14,y\nc,15,z\nd,16,q", "table"), ("wind " * 60, "junk"), ("]~=/;>^.] .<$>*=]$_@<[_|$~^>@" * 4, "junk"),
