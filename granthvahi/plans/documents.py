@@ -172,7 +172,7 @@ def lexicon_load(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lexicon_apply(spark: SparkSession, d: str) -> DataFrame:
-    """Every passage with the words of the lexicon table replaced, by a join on words."""
+    """Every passage with the phrases and words of the lexicon table replaced, by a join on first words."""
     rows = passages(spark, d).select("doc_id", "id", "text")
     return lex.pronounce_by_join(rows, ["doc_id", "id"], "text", lexicon_load(spark, d)).select("doc_id", "id", F.md5("spoken").alias("spoken"), (F.col("spoken") != F.col("text")).alias("changed"))
 

@@ -73,6 +73,29 @@ def test_lexicon_by_join_replaces_words_only(spark):
     assert got == {1: "मन् का मनन, मन्।", 2: None, 3: ""}
 
 
+def test_lexicon_by_join_replaces_phrases_longest_first(spark):
+    words = {"ab": "1", "ab cd": "2", "cd ef gh": "3", "x-y": "4", "x": "5", "(q) r": "6", "ef": "7"}
+    texts = ["ab cd.", "ab cd ef gh", "zx-y x-y x", "ab  cd", "(q) r ab cde", "ef\nab, ab", None, ""]
+
+    def model(text):
+        taken = []
+        for s in sorted(words, key=lambda s: -len(s)):
+            for at in range(len(text)):
+                end = at + len(s)
+                inside = text[at - 1 : at].isalnum() and s[0].isalnum() or text[end : end + 1].isalnum() and s[-1].isalnum()
+                if text.startswith(s, at) and not inside and all(end <= b or e <= at for b, e, _ in taken):
+                    taken.append((at, end, words[s]))
+        for b, e, new in sorted(taken, reverse=True):
+            text = text[:b] + new + text[e:]
+        return text
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    lexicon = spark.createDataFrame(list(words.items()), "source string, tts_alias string")
+    got = {r["k"]: r["spoken"] for r in L.pronounce_by_join(rows, ["k"], "t", lexicon).collect()}
+    assert got == {i: t and model(t) for i, t in enumerate(texts)}
+    assert got[0] == "2." and got[1] == "1 3" and got[2] == "zx-y 4 5"
+
+
 def test_breath_marks(spark):
     f = lambda t, k: one(spark, breath_marks, t, k)
     assert ", किंतु" in f("वे होते हैं किंतु सब नहीं", "prose")
