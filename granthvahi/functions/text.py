@@ -51,6 +51,12 @@ ROMAN_CONSONANTS = dict(
     )
 )
 ROMAN_MARKS = {"ं": "n", "ँ": "n", "ः": "h", "ॐ": "om", "ऽ": "", "्": ""}
+# Canonical forms of Devanagari letters with a dot below.
+DOT_BELOW = [
+    ("\u0928\u093c", "\u0929"), ("\u0930\u093c", "\u0931"), ("\u0933\u093c", "\u0934"),
+    ("\u0958", "\u0915\u093c"), ("\u0959", "\u0916\u093c"), ("\u095a", "\u0917\u093c"), ("\u095b", "\u091c\u093c"),
+    ("\u095c", "\u0921\u093c"), ("\u095d", "\u0922\u093c"), ("\u095e", "\u092b\u093c"), ("\u095f", "\u092f\u093c"),
+]
 # Punctuation that token comparison ignores.
 TOKEN_PUNCTUATION = r"[।॥,.!?;:'\"“”‘’()\[\]{}—–\-…]"
 
@@ -196,6 +202,12 @@ def mark_counts(text: Column) -> Column:
     )
 
 
+def nfc_devanagari(text: Column) -> Column:
+    """Composed form of Devanagari: letters with a dot below that Unicode composes are one
+    character, those it excludes are two. Text of other scripts is left as it is."""
+    return swap(text, DOT_BELOW)
+
+
 def romanize(text: Column) -> Column:
     """Devanagari in Latin letters without schwa; vowel runs give their first vowel, all else a blank."""
     letters = ROMAN_VOWELS | ROMAN_SIGNS | ROMAN_CONSONANTS | ROMAN_MARKS

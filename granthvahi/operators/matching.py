@@ -68,34 +68,6 @@ def is_latin_transcript(text: Column) -> Column:
     return text.rlike("[A-Za-z]") & ~text.rlike("[ऀ-ॿ]")
 
 
-def phrase_matches(notes: DataFrame, passages: DataFrame, keys: list[str], best: int = 3, least: float = 0.55, block: int = 3) -> DataFrame:
-    """Sentences that sound like a reviewer's romanised note: keys, note_id, passage_id,
-    sentence_no, window, score (4 places), rank by score.
-
-    notes: keys, note_id, note. passages: keys, passage_id, text. Candidates share a
-    run of ``block`` consonants with the note, so no note meets every sentence; each
-    is scored over windows of about the note's length."""
-    q = notes.select(*keys, "note_id", roman_note(F.col("note")).alias("_q")).where("_q <> ''")
-    sentence = F.filter(F.split("text", "[।!?॥.]+"), lambda s: F.trim(s) != "")
-    s = passages.select(*keys, "passage_id", F.posexplode(sentence).alias("sentence_no", "_s")).withColumn("_c", roman_note(romanize(F.col("_s")))).where("_c <> ''")
-    marks = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(consonants(c)) - block + 1, F.lit(1))), lambda i: F.substr(consonants(c), i, F.lit(block))))
-    pairs = q.withColumn("_m", F.explode(marks(F.col("_q")))).join(s.withColumn("_m", F.explode(marks(F.col("_c")))), [*keys, "_m"])
-    pairs = pairs.groupBy(*keys, "note_id", "passage_id", "sentence_no", "_q", "_c").agg(F.count("*").alias("_shared"))
-    pairs = pairs.where(F.col("_shared") * 3 >= F.size(marks(F.col("_q"))))
-    words, n = F.split("_c", " "), F.size(F.split("_q", " "))
-    widths = F.filter(F.sequence(F.greatest(n - 1, F.lit(1)), n + 3), lambda w: w <= F.size(words))
-    windows = F.flatten(F.transform(widths, lambda w: F.transform(F.sequence(F.lit(1), F.size(words) - w + 1), lambda i: F.array_join(F.slice(words, i, w), " "))))
-    # of a sentence's windows the nearest by edit distance is scored, so one pair asks Python once
-    near = F.array_min(F.transform(windows, lambda w: F.struct(F.levenshtein(F.col("_q"), w).alias("d"), w.alias("w"))))["w"]
-    scored = cut(pairs.select(*keys, "note_id", "passage_id", "sentence_no", "_q", F.coalesce(near, F.col("_c")).alias("window")))
-    score = F.greatest(similarity(F.col("_q"), F.col("window")), similarity(consonants(F.col("_q")), consonants(F.col("window"))))
-    per = scored.withColumn("score", F.round(score, 4))
-    # the best of each note are kept by a bounded sort inside the aggregate
-    listed = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", "passage_id", "sentence_no", "window")))), 1, best)
-    top = cut(per.drop("_q")).where(F.col("score") >= least).groupBy(*keys, "note_id").agg(listed.alias("_b"))
-    return top.select(*keys, "note_id", F.posexplode("_b").alias("rank", "_x")).select(*keys, "note_id", (F.col("rank") + 1).alias("rank"), "_x.passage_id", "_x.sentence_no", "_x.window", "_x.score")
-
-
 def search(passages: DataFrame, query: str, id_: str = "id", text: str = "text", page: str = "page") -> DataFrame:
     """Passages a query names: a page, else an exact id, else a phrase in the text.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions import text as T
-from ..operators import checks, corrections, documents, matching, prosody
+from ..operators import checks, corrections, documents, matching, phrases, prosody
 from ..operators import segments as seg
 from ..session import load
 from ..sources import artifacts, manuscript
@@ -292,7 +292,7 @@ def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
     """For each note the sentences of its book that sound like it."""
     notes = feedback(spark, d).where("reviewer_text is not null").select("doc_id", F.col("issue_id").alias("note_id"), F.col("reviewer_text").alias("note"))
     texts = passages(spark, d).select("doc_id", F.col("id").alias("passage_id"), "text")
-    return matching.phrase_matches(notes, texts, ["doc_id"])
+    return phrases.phrase_matches(notes, texts, ["doc_id"])
 
 
 @query(f"""SELECT 'page xii' AS query, doc_id, id FROM {PASSAGES_SQL} WHERE lower(page) = 'xii' UNION ALL SELECT 'g00-0000399', doc_id, id FROM {PASSAGES_SQL} WHERE id = 'g00-0000399' OR contains(text, 'g00-0000399')
