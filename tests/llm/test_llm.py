@@ -39,16 +39,30 @@ def test_token_ids_of_nulls_empties_long_texts_and_clashing_names(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 def test_patterns_hold_every_item_once_within_the_capacity(histogram):
-    patterns = packing.plan_patterns(dict(histogram), 64)
-    held: dict[int, int] = {}
-    for p, n in patterns:
-        assert sum(p) <= 64 and n > 0
-        for s in p:
-            held[s] = held.get(s, 0) + n
-    assert held == histogram
-    if histogram:
-        total = sum(s * n for s, n in histogram.items())
-        assert sum(n for _, n in patterns) <= max(2 * -(-total // 64), 1)
+    for tiers in (1, 4):
+        patterns = packing.plan_patterns(dict(histogram), 64, tiers)
+        held: dict[int, int] = {}
+        for windows, n in patterns:
+            assert sum(w for w, _ in windows) <= 64 and n > 0
+            for w, inside in windows:
+                assert sum(inside) <= w and max(inside) > 0
+                for s in inside:
+                    held[s] = held.get(s, 0) + n
+        assert held == histogram
+        if histogram:
+            total = sum(s * n for s, n in histogram.items())
+            assert sum(n for _, n in patterns) <= max(2 * -(-total // 64), 1) + tiers - 1
+
+
+def test_tiers_have_windows_of_their_own_and_fill_longer_ones():
+    histogram = {40: 3, 20: 4, 12: 5, 3: 30}
+    one, four = packing.plan_patterns(histogram, 64, 1), packing.plan_patterns(histogram, 64, 4)
+    assert one != four and {w for ws, _ in one for w, _ in ws} == {64}
+    windows = [w for ws, n in four for w in ws * n]
+    assert sorted(w for w, _ in windows if w == 64) == [64] * 3
+    assert all(max(inside) > w // 2 or w == 8 for w, inside in windows)  # each window is opened by its own tier
+    assert any(min(inside) <= w // 4 for w, inside in windows if w > 8)  # and filled from shorter ones
+    assert sum(n for _, n in four) <= sum(n for _, n in one) + 1
 
 
 def test_pack_rows(spark):
@@ -59,6 +73,14 @@ def test_pack_rows(spark):
     for r in got:
         fill[r["container"]] = fill.get(r["container"], 0) + r["piece_size"]
     assert max(fill.values()) <= 10 and sum(fill.values()) == sum(n or 0 for _, n in rows)
+    windows: dict[tuple, list] = {}
+    for r in got:
+        windows.setdefault((r["container"], r["window"]), [r["window_size"], 0])[1] += r["piece_size"]
+    assert all(n <= w for w, n in windows.values())
+    groups: dict[int, int] = {}
+    for r in packing.pack(df, "doc_id", "n", 10, step=3).collect():
+        groups[r["step_group"]] = groups.get(r["step_group"], 0) + r["piece_size"]
+    assert max(groups.values()) - min(groups.values()) <= 2 * 10
     pieces = sorted((r["piece"], r["piece_size"]) for r in got if r["doc_id"] == 6)
     assert pieces == [(0, 10), (1, 10), (2, 5)]
     assert packing.pack(df.limit(0), "doc_id", "n", 10).count() == 0
