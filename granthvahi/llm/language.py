@@ -3,10 +3,12 @@
 Hyperdimensional profiles. Each letter has a random vector of +1 and -1; an
 n-gram's vector is the product of its letters' vectors, each permuted by its
 place; a language's prototype is the weighted bundle of the n-grams (inside
-words, and whole words) that tell it from the other languages. A text is the
-bundle of its n-grams and is compared with every prototype by cosine. The
-bundle being a sum, the comparison is the sum of its words' own, which are kept
-for words seen before.
+words, and whole words) that tell it from the other languages. A sentence and a text
+are the bundles of their n-grams and are compared with every prototype by cosine:
+the dot product over both lengths. A bundle being a sum, its dot products are the sums
+of its words' own, which are kept for words seen before; its length is measured on a
+slice of the bundle. Cosines are read as multiples of what vectors met by chance give,
+and the confidence follows the gap between the nearest two.
 
 Prototypes are fitted on a bounded sample (``sample_rows``) of labelled rows;
 labels being partly wrong, the sample's sentences are labelled anew by the first
@@ -98,23 +100,32 @@ def grams(word: str) -> list[str]:
 
 
 class Profiles:
-    """Prototypes of languages and the comparison with them."""
+    """Prototypes of languages and the comparison with them by cosine.
 
-    def __init__(self, languages: list[str], weights: list[dict[str, float]], dimensions: int = 16384, seed: int = 7):
+    A text's vector is the bundle (sum) of the vectors of its n-grams. Its dot product
+    with a prototype is the sum of its words' own products, and its length is measured
+    on the first ``measured`` components of the bundle itself."""
+
+    def __init__(self, languages: list[str], weights: list[dict[str, float]], dimensions: int = 16384, measured: int = 256, seed: int = 7):
         self.languages, self.dimensions, self.seed = languages, dimensions, seed
+        self.measured = min(measured, dimensions)
         self._letters: dict[tuple[str, int], np.ndarray] = {}
         self.prototypes = np.zeros((len(languages), dimensions), np.float32)
         for k, own in enumerate(weights):
             for g, w in own.items():
                 self.prototypes[k] += np.float32(w) * self.vector(g)
         self.norms = np.maximum(np.linalg.norm(self.prototypes, axis=1), 1e-6)
-        self.noise = 3.0 * self.norms / dimensions  # what a vector met by chance gives
+        #: Standard deviation of the cosine of vectors that have nothing in common.
+        self.chance = 1.0 / math.sqrt(dimensions)
         self._reset()
 
     def _reset(self) -> None:
-        self._gram: dict[str, np.ndarray] = {}
+        self._gram: dict[str, int] = {}
+        self._gram_dots = np.zeros((4096, len(self.languages)), np.float32)
+        self._gram_parts = np.zeros((4096, self.measured), np.float32)
         self._word: dict[str, int] = {}
-        self._rows = np.zeros((4096, len(self.languages)), np.float32)
+        self._dots = np.zeros((4096, len(self.languages)), np.float32)
+        self._parts = np.zeros((4096, self.measured), np.float32)
 
     def __getstate__(self):  # noqa: ANN204
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -143,50 +154,69 @@ class Profiles:
             v = v * self.letter(c, i)
         return v
 
-    def compare_gram(self, gram: str) -> np.ndarray:
-        """Dot product with each prototype per dimension; what chance alone gives is 0."""
-        s = self._gram.get(gram)
-        if s is None:
-            s = (self.prototypes @ self.vector(gram).astype(np.float32)) / self.dimensions
-            s = self._gram[gram] = np.where(np.abs(s) > self.noise, s, 0.0).astype(np.float32)
-        return s
-
-    def index(self, word: str) -> int:
-        k = self._word.get(word)
-        if k is None:
-            k = len(self._word)
-            if k == len(self._rows):
-                self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-            total = np.zeros(len(self.languages), np.float32)
-            for g in grams(word):
-                total += self.compare_gram(g)
-            self._rows[k] = total
-            self._word[word] = k
-        return k
-
-    def scores(self, texts: list[list[str]]) -> np.ndarray:
-        """Sum of comparisons for each list of words: len(texts) x languages."""
+    def _learn_grams(self, new: list[str], together: int = 256) -> None:
+        """Products of new n-grams with all prototypes, many at once."""
+        self._gram_dots, self._gram_parts = (_room(a, len(self._gram) + len(new)) for a in (self._gram_dots, self._gram_parts))
+        for lo in range(0, len(new), together):
+            v = np.stack([self.vector(g) for g in new[lo : lo + together]])
+            at = len(self._gram)
+            self._gram.update((g, at + i) for i, g in enumerate(new[lo : lo + together]))
+            self._gram_dots[at : at + len(v)] = v.astype(np.float32) @ self.prototypes.T
+            self._gram_parts[at : at + len(v)] = v[:, : self.measured]
+
+    def learn_words(self, new: list[str]) -> None:
+        """Bundles of new words, each from its n-grams."""
+        own = [grams(w) for w in new]
+        self._learn_grams(list(dict.fromkeys(g for gs in own for g in gs if g not in self._gram)))
+        flat = np.array([self._gram[g] for gs in own for g in gs], np.int64)
+        sizes = np.array([len(gs) for gs in own], np.int64)
+        at = len(self._word)
+        self._dots, self._parts = (_room(a, at + len(new)) for a in (self._dots, self._parts))
+        self._dots[at : at + len(new)] = _sums(self._gram_dots, flat, sizes)
+        self._parts[at : at + len(new)] = _sums(self._gram_parts, flat, sizes)
+        self._word.update((w, at + i) for i, w in enumerate(new))
+
+    def bundles(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each list of words its bundle: the dot products with the prototypes and the
+        measured components. Bundles of parts add up to the bundle of the whole."""
         if len(self._word) > 400_000 or len(self._gram) > 400_000:
             self._reset()
-        get, index = self._word.get, self.index
-        flat, starts = [], np.zeros(len(texts), np.int64)
-        for i, words in enumerate(texts):
-            starts[i] = len(flat)
-            flat += map(get, words)
-        if None in flat:
-            at = 0
-            for words in texts:
-                for w in words:
-                    if flat[at] is None:
-                        flat[at] = index(w)
-                    at += 1
-        if not flat:
-            return np.zeros((len(texts), len(self.languages)), np.float32)
-        ids = np.asarray(flat, np.int64)
-        out = np.zeros((len(texts), len(self.languages)), np.float32)
-        filled = np.flatnonzero(np.diff(np.append(starts, len(flat))) > 0)
-        out[filled] = np.add.reduceat(self._rows[ids], starts[filled], axis=0)
-        return out
+        words = [w for ws in texts for w in ws]
+        new = [w for w in dict.fromkeys(words) if w not in self._word]
+        if new:
+            self.learn_words(new)
+        dots, parts = np.zeros((len(texts), len(self.languages)), np.float32), np.zeros((len(texts), self.measured), np.float32)
+        if words:
+            ids = np.fromiter(map(self._word.__getitem__, words), np.int64, len(words))
+            sizes = np.array([len(ws) for ws in texts], np.int64)
+            dots, parts = _sums(self._dots, ids, sizes), _sums(self._parts, ids, sizes)
+        return dots, parts
+
+    def cosines(self, dots: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Cosine of each bundle with each prototype; 0 for an empty bundle."""
+        length = np.sqrt(np.square(parts, dtype=np.float64).sum(axis=1) * (self.dimensions / self.measured))
+        return dots / np.maximum(length, 1.0)[:, None] / self.norms
+
+
+def _sums(rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray, together: int = 48) -> np.ndarray:
+    """Sum of the rows of each run of ids: first of all runs' first ids, then of their second ones and so on."""
+    out = np.zeros((len(sizes), rows.shape[1]), np.float32)
+    by = np.argsort(-sizes, kind="stable")
+    starts, ordered = (np.cumsum(sizes) - sizes)[by], sizes[by]
+    total = np.zeros_like(out)
+    for j in range(min(int(ordered[0]) if len(ordered) else 0, together)):
+        n = len(ordered) - int(np.searchsorted(ordered[::-1], j, side="right"))
+        total[:n] += rows[ids[starts[:n] + j]]
+    for k in np.flatnonzero(ordered > together):
+        total[k] += rows[ids[starts[k] + together : starts[k] + ordered[k]]].sum(axis=0)
+    out[by] = total
+    return out
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    while len(a) < n:
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
 
 
 def _tell_apart(counts: dict[str, Counter], keep: int) -> list[dict[str, float]]:
@@ -236,8 +266,9 @@ def fit(sample: list[tuple[str, str]], rounds: int = 2, keep: int = 350, dimensi
                     c[g] += n
             counts[lang] = c
         profiles = Profiles(sorted(counts), _tell_apart(counts, keep), dimensions)
-        got = profiles.scores([w for _, w in rows]) if rows else np.zeros((0, 1))
-        langs = [profiles.languages[k] if got[i, k] > 0 else langs[i] for i, k in enumerate(got.argmax(axis=1))] if rows else langs
+        if rows:
+            got = profiles.cosines(*profiles.bundles([w for _, w in rows]))
+            langs = [profiles.languages[k] if got[i, k] > 2.0 * profiles.chance else langs[i] for i, k in enumerate(got.argmax(axis=1))]
     return profiles or Profiles(["en"], [{}], dimensions)
 
 
@@ -252,17 +283,23 @@ def clean(text: str) -> str:
     return SPACES.sub(" ", INVISIBLE.sub("", text))
 
 
-def judge(profiles: Profiles, texts: list[str], known: frozenset[str], margin: float = 5.0) -> list[list[tuple[int, int, str, float, bool]]]:
+#: Cosines, as multiples of what chance gives: by how much another language must be ahead
+#: of the text's own, be ahead of all others and be there at all, for a sentence to be its.
+AHEAD, APART, NEAR = 5.0, 2.0, 4.0
+
+
+def judge(profiles: Profiles, texts: list[str], known: frozenset[str]) -> list[list[tuple[int, int, str, float, bool]]]:
     """For each text its sentences as (start, end, language, confidence, whole).
 
-    A sentence takes the language of the text's own best unless another is ahead
-    by ``margin``. It is whole if it is no item of a list, ends in a mark (or is
-    long in a text that has no marks at all) and holds a common word or has the
-    length and n-grams of a sentence of its language."""
+    Sentences and the whole text are bundled and compared with the prototypes by cosine.
+    A sentence takes the text's language unless another is ahead by AHEAD; the confidence
+    grows with the gap between the nearest two. It is whole if it is no item of a list, ends
+    in a mark (or is long in a text that has no marks at all), is near enough to its language
+    and apart from the others, and, as an exact check, has the length of a sentence and a
+    common word of some language."""
     spans: list[tuple[int, int, int, bool, bool]] = []
     words: list[list[str]] = []
-    marked = [False] * len(texts)
-    strewn = [False] * len(texts)  # letters and marks strewn about make no sentences
+    marked, strewn = [False] * len(texts), [False] * len(texts)  # letters and marks strewn about make no sentences
     for i, text in enumerate(texts):
         strewn[i] = len(STREWN.findall(text)) * 8 > text.count(" ") + 8
         low = text.lower()
@@ -272,32 +309,36 @@ def judge(profiles: Profiles, texts: list[str], known: frozenset[str], margin: f
             spans.append((i, a, b, ended, item))
             words.append(WORD.findall(low, a, b))
             marked[i] |= ended
-    score = profiles.scores(words)
-    total = np.zeros((len(texts), len(profiles.languages)), np.float32)
-    np.add.at(total, np.array([s[0] for s in spans], np.int64), score)
-    own = total.argmax(axis=1) if len(texts) else np.zeros(0, np.int64)
-    best = score.argmax(axis=1) if len(spans) else np.zeros(0, np.int64)
     out: list[list[tuple[int, int, str, float, bool]]] = [[] for _ in texts]
-    for j, (i, a, b, ended, item) in enumerate(spans):
-        k = int(best[j])
-        if k != own[i] and score[j, k] - score[j, own[i]] < margin:
-            k = int(own[i])
-        n = len(words[j])
-        top = float(score[j, k])
-        others = np.delete(score[j], k)
-        gap = top - float(others.max()) if len(others) else top
+    if not spans:
+        return out
+    dots, parts = profiles.bundles(words)
+    owner = np.array([s[0] for s in spans], np.int64)
+    sizes = np.bincount(owner, minlength=len(texts))  # a text's bundle is that of its sentences together
+    whole_text = profiles.cosines(_sums(dots, row := np.arange(len(spans)), sizes), _sums(parts, row, sizes)).argmax(axis=1)
+    cosine = profiles.cosines(dots, parts) / profiles.chance
+    own, pick = whole_text[owner], cosine.argmax(axis=1)
+    pick = np.where(cosine[row, pick] - cosine[row, own] < AHEAD, own, pick)
+    top = cosine[row, pick]
+    rest = cosine.copy()
+    rest[row, pick] = -1e9
+    gap = top - (rest.max(axis=1) if len(profiles.languages) > 1 else 0.0)
+    confidence = np.where(top > 0, 1.0 / (1.0 + np.exp(-np.clip(gap, -60.0, 60.0) / 3.0)), 0.0).tolist()
+    fits = ((gap > APART) & (top > NEAR)).tolist()
+    seen = (top > 0).tolist()
+    for (i, a, b, ended, item), ws, k, fit_, sure, some in zip(spans, words, pick.tolist(), fits, confidence, seen, strict=True):
         lang = profiles.languages[k]
-        cjk = lang in ("ja", "zh")
-        if cjk:
-            n = sum("\u3040" <= w <= "\u9fff" for w in words[j])
-        commons = sum(w in known for w in words[j])
-        whole = top > 0 and not item and gap > 1.0 and (n >= (5 if cjk else 3) and commons >= 1 or n >= (8 if cjk else 4) and top > 0.5 * n)
-        if whole and not cjk:  # long codes are no sentence
-            whole = b - a <= 24 * (texts[i].count(" ", a, b) + texts[i].count("\n", a, b) + 1)
-        whole = whole and not strewn[i]
-        if not ended:
-            whole = whole and not marked[i] and n >= (20 if cjk else 10) and commons >= max(2, n // 16)
-        out[i].append((a, b, lang if top > 0 else "und", 1.0 / (1.0 + math.exp(-min(gap, 30.0) / 2.0)) if top > 0 else 0.0, bool(whole)))
+        whole = fit_ and not item and not strewn[i] and (ended or not marked[i])
+        if whole:
+            cjk = lang in ("ja", "zh")
+            n = sum("\u3040" <= w <= "\u9fff" for w in ws) if cjk else len(ws)
+            commons = sum(w in known for w in ws)
+            whole = n >= (5 if cjk else 3) and commons >= 1 or n >= (8 if cjk else 4)
+            if not cjk:  # long codes are no sentence
+                whole = whole and b - a <= 24 * (texts[i].count(" ", a, b) + texts[i].count("\n", a, b) + 1)
+            if not ended:
+                whole = whole and n >= (20 if cjk else 10) and commons >= max(2, n // 16)
+        out[i].append((a, b, lang if some else "und", sure, whole))
     return out
 
 

@@ -224,6 +224,22 @@ def test_languages_are_told_apart():
     got = language.judge(profiles, ["यह घर है और वह नहीं। the dog and the man had no house. वह मन का है।", "", "a1b2c3/" * 20], known)
     assert [g[2] for g in got[0]] == ["hi", "en", "hi"] and got[1] == []
     assert not any(g[4] for g in got[2])
+    profiles.prototypes = np.roll(profiles.prototypes, 1, axis=0)  # the prototypes decide: others, other languages
+    profiles.norms = np.roll(profiles.norms, 1)
+    profiles._reset()
+    assert [g[2] for g in language.judge(profiles, ["वह मन का है। वह घर है।", "the dog and the man had no house."], known)[1]] != ["en"]
+
+
+def test_cosines_are_those_of_the_bundles():
+    profiles = language.fit([(k, t + ".") for k, ts in SAMPLE.items() for t in ts] * 5, dimensions=2048)
+    profiles.measured = profiles.dimensions
+    profiles._reset()
+    texts = [t.split() for ts in SAMPLE.values() for t in ts] + [[], ["x"] * 200]
+    got = profiles.cosines(*profiles.bundles(texts))
+    for words, row in zip(texts, got, strict=True):
+        bundle = sum((profiles.vector(g).astype(float) for w in words for g in language.grams(w)), np.zeros(2048))
+        want = profiles.prototypes @ bundle / max(np.linalg.norm(bundle), 1) / profiles.norms
+        assert np.allclose(row, want, atol=1e-4)
 
 
 @pytest.mark.parametrize("label, code", [("hi-IN", "hi"), ("Hindi", "hi"), ("hin", "hi"), ("en_GB", "en"), ("und", ""), (None, ""), ("", ""), ("te", "te")])
