@@ -73,8 +73,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """The sentences of those segments in order."""
-    return sentence_units(_typed_segments(spark, d), "segment_key", "source_text").distinct()
+    """The sentences of every segment in order, whatever its origin."""
+    return sentence_units(load(spark, d, "segments").select("segment_key", "source_text"), "segment_key", "source_text").distinct()
 
 
 def _named_values(spark: SparkSession, d: str) -> DataFrame:

@@ -1,35 +1,49 @@
 """Sentence boundaries across languages and scripts (problem 3).
 
-A hidden-event n-gram model: between two words lies an event, boundary or none.
-Its counts come from the whole corpus. Line ends are sure boundaries and starts
-of lines sure starts; which words with a full stop stand at line ends, and which
-words begin lines, tells how likely an event is after one word and before
-another. The counts live in tables of a fixed number of hash buckets, so the
-model's size does not follow the corpus. Each line is then a chain of possible
-boundaries (after stops, dots, marks and closing quotes); forward-backward over
-it gives the posterior of each, neighbours holding each other in check: a
-sentence of a word or two is unlikely. For scripts or texts without marks
-``unpunctuated=True`` puts an event after every word.
+A hidden-event n-gram model: between two words lies an event, boundary or none, and the
+n-gram holds it: ``word boundary next`` against ``word next``. Line ends are sure
+boundaries and starts of lines sure starts; all other events are hidden.
+
+* After a word with a full stop the event's odds are how often that word stands at line
+  ends, as a share of how often sentences end there, times how much likelier the next
+  word is as a sentence's first than behind this word inside a sentence (bigram counts,
+  less what boundaries explain of them, backed off to the word's own).
+* End marks are words with learnt odds: for each mark, expectation maximisation finds
+  what share of its occurrences inside lines is followed by words as they begin lines.
+* Lines without marks have a possible event between all words; in scripts without
+  blanks between all characters, two before and one after being the words.
+
+The places of a line are a chain; forward-backward gives the posterior of each,
+neighbours holding each other in check: a sentence of a word or two is unlikely.
+
+Counts cover the whole corpus and stay tables: rows are cut into blocks, and each block
+is joined with the counts of just the words it asks for, so no task holds a model that
+grows with the corpus and nothing is hashed into shared buckets.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .lookalikes import TO_LATIN, normal_form
 
-#: Buckets of each table of counts.
-BUCKETS = 1 << 17
-ENDED, INSIDE_STOP, START, INSIDE = range(4)
+# Kinds of counts: first word of a line; word inside a sentence; mark inside a line and the word after it; word with a
+# stop at a line's end, inside a line, and there with the word after it; plain words before an end, all, and in pairs;
+# how many different words follow a word with a stop, a plain word.
+FIRST, INSIDE, MARKED, ENDED, STOP, PAIR, BEFORE_END, SEEN, NEXT, PAIR_TYPES, NEXT_TYPES = range(11)
+#: What a mark not seen often is thought to be: its share of boundaries.
+PRIOR = {"|": 0.8, "...": 0.05}
+#: Log odds beyond which the next word can't turn a mark's event.
+SETTLED = 6.0
 
 SURE = "।॥?!؟۔。！？｡"
 CLUSTER = re.compile(f"[{SURE}.…|]+")
@@ -46,10 +60,6 @@ _TWINS = str.maketrans(TO_LATIN)
 STOPS = frozenset(SURE + ".…|")
 
 
-def _bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & (BUCKETS - 1)
-
-
 def _plain(word: str) -> str:
     """The form a word is counted in: without quotes and brackets, numbers as one."""
     w = word
@@ -65,80 +75,194 @@ def _plain(word: str) -> str:
     return w
 
 
-def count_lines(texts: list[str]) -> list[Counter]:
-    """The four tables' counts by word: with a stop at a line's end, with a stop inside, first of a sentence for sure, inside for sure."""
-    got = [Counter(), Counter(), Counter(), Counter()]
+def mark_of(cluster: str) -> str:
+    """The mark that a run of end marks counts as: its first sure one, a bar, a stop, or dots."""
+    for c in cluster:
+        if c in SURE:
+            return c
+    return "|" if "|" in cluster else "." if cluster == "." else "..."
+
+
+HAN = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+
+
+#: A character of a script without blanks behind another: what goes on inside a sentence.
+HAN_NEXT = re.compile("(?<=[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff])[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+NO_START = "".join(c for c in CLOSERS if c not in OPENERS) + ",;:،、，；："
+
+
+def _behind(line: str, at: int) -> int:
+    """The place behind an end mark's closing quotes and brackets, numbers of verses and blanks."""
+    while at < len(line) and line[at] in CLOSERS and line[at] not in OPENERS:
+        at += 1
+    tail = AFTER.match(line, at) or VERSE.match(line, at)
+    at = tail.end() if tail else at
+    while at < len(line) and line[at].isspace():
+        at += 1
+    return at
+
+
+def units(line: str) -> list[tuple[int, str, str]]:
+    """(place, word before, word after) of every gap of a line: between words, and inside
+    words of scripts without blanks between characters, of which two before and one after count as words."""
+    words = [(m.start(), m[0]) for m in re.finditer(r"\S+", line)]
+    out = []
+    for k, (at, w) in enumerate(words):
+        if k:
+            out.append((at, _last(words[k - 1][1]), _head(w)))
+        if HAN.search(w):
+            out += [(at + i, w[max(0, i - 2) : i], w[i]) for i in range(1, len(w)) if HAN.match(w, i - 1) and HAN.match(w, i)]
+    return out
+
+
+def _head(word: str) -> str:
+    return word[:1] if HAN.match(word) else _plain(word)
+
+
+def _last(word: str) -> str:
+    return word[-2:] if HAN.match(word, len(word) - 1) else _plain(word)
+
+
+def count_lines(texts: list[str], all_words: bool = False) -> Counter:
+    """Counts by (kind, word, word after); with ``all_words`` also of plain words and their pairs."""
+    got: Counter = Counter()
     for text in texts:
         for line in text.split("\n"):
             words = line.split()
-            if len(words) < 3:
-                continue
-            firsts, insides, before = [words[0]], [], words[0]
-            for w in words[1:]:
-                last = before[-1] if before[-1] not in CLOSERS else before.rstrip(CLOSERS)[-1:]
-                if last not in STOPS:
-                    insides.append(w)
-                elif last in SURE and before[-1] == last:
-                    firsts.append(w)
-                if last == "." and not before.endswith(".."):
-                    got[INSIDE_STOP][before] += 1
-                before = w
-            if before.rstrip(CLOSERS).endswith("."):
-                got[ENDED][before] += 1
-            got[START].update(firsts)
-            got[INSIDE].update(insides)
+            if words and HAN.match(words[0]):
+                got[FIRST, "", words[0][0]] += 1
+            for m in CLUSTER.finditer(line):
+                kind, d = mark_of(m[0]), _behind(line, m.end())
+                # behind closing quotes stand the words that tell who spoke: they say nothing of the mark
+                if kind != "." and d < len(line) and line[m.end()] not in CLOSERS and not CLUSTER.match(line, d) and line[d] not in NO_START:
+                    got[MARKED, kind, _head(_word_after(line, d))] += 1
+            if len(words) >= 3:
+                if not HAN.match(words[0]):
+                    got[FIRST, "", _plain(words[0])] += 1
+                before = words[0]
+                for w in words[1:]:
+                    core = before.rstrip(CLOSERS)
+                    if core[-1:] not in STOPS:
+                        got[INSIDE, "", _head(w)] += 1
+                    elif core[-1:] == "." and not core.endswith(".."):
+                        got[STOP, _plain(before), ""] += 1
+                        got[PAIR, _plain(before), _head(w)] += 1
+                    before = w
+                if before.rstrip(CLOSERS).endswith("."):
+                    got[ENDED, _plain(before), ""] += 1
+            for c in HAN_NEXT.findall(line):
+                got[INSIDE, "", c] += 1
+            for m in re.finditer(r"(?<=[^\s.])\.(?=[^\s.\d,;:])", line):  # a stop without a blank after it
+                a, b = _plain(_word_before(line, m.end())), _head(_word_after(line, m.end()))
+                got[STOP, a, ""] += 0
+                got[PAIR, a, b] += 0
+            if all_words:
+                for part in CLUSTER.split(line):
+                    gaps = units(part)
+                    for _, a, b in gaps:
+                        got[SEEN, a, ""] += 1
+                        got[NEXT, a, b] += 1
+                    tail = part.strip().rstrip(CLOSERS)
+                    if gaps and tail:
+                        got[BEFORE_END, _last(tail.split()[-1]), ""] += 1
+                        got[SEEN, _last(tail.split()[-1]), ""] += 1
     return got
 
 
-class HiddenEvents:
-    """Log odds of a boundary after a word and before a word."""
+def asked_of(text: str, counts: Counter, unpunctuated: bool) -> set[tuple[int, str, str]]:
+    """The counts by which a text, of which ``counts`` are the own ones, is decided."""
+    need: set[tuple[int, str, str]] = set()
+    for kind, a, b in counts:
+        if kind in (STOP, ENDED):
+            need |= {(STOP, a, ""), (ENDED, a, ""), (PAIR_TYPES, a, "")}
+        elif kind == PAIR:
+            need |= {(PAIR, a, b), (FIRST, "", b), (INSIDE, "", b)}
+        elif kind == MARKED:
+            need |= {(FIRST, "", b), (INSIDE, "", b)}
+    if unpunctuated:
+        for line in text.split("\n"):
+            if not CLUSTER.search(line):
+                for _, a, b in units(line):
+                    need |= {(BEFORE_END, a, ""), (SEEN, a, ""), (NEXT_TYPES, a, ""), (NEXT, a, b), (FIRST, "", b), (INSIDE, "", b)}
+    return need
 
-    def __init__(self, tables: np.ndarray):
-        self.tables = tables  # 4 x BUCKETS
-        ended, stops = float(tables[ENDED].sum()), float(tables[INSIDE_STOP].sum())
-        self.share = min(max(ended / (ended + stops + 1.0), 0.05), 0.95)
-        self.start, self.inside = (float(tables[k].sum()) + 1.0 for k in (START, INSIDE))
-        self._reset()
 
-    def _reset(self) -> None:
-        self._after: dict[str, float] = {}
-        self._before: dict[str, float] = {}
+#: So many occurrences of a pair say nothing: the place in question itself, its row delivered again and a copy.
+OWN = 3.0
 
-    def __getstate__(self):  # noqa: ANN204
-        return {"tables": self.tables, "share": self.share, "start": self.start, "inside": self.inside}
 
-    def __setstate__(self, state):  # noqa: ANN001, ANN204
-        self.__dict__.update(state)
-        self._reset()
+class HiddenEvents:
+    """Log odds of events from counts by (kind, word, word after). FIRST holds what is
+    expected to begin sentences: lines' first words and those after marks, by their odds."""
 
-    def after(self, word: str) -> float:
-        """Log odds that a sentence ends behind ``word``, which has a full stop."""
-        got = self._after.get(word)
-        if got is None:
-            w = _plain(word)
-            k = _bucket(w)
-            e, i = float(self.tables[ENDED][k]), float(self.tables[INSIDE_STOP][k])
-            n = len(LETTER.findall(w))
-            guess, held = (0.95, 8.0) if w == "<)>." else (0.05, 3.0) if n <= 1 else (0.4, 3.0) if n <= 3 else (0.85, 8.0 if n > 4 else 3.0)
-            # words that end sentences stand at line ends as often as sentences do
-            p = (e + held * self.share * guess) / (e + i + held) / self.share
-            p = min(max(p, 0.002), 0.995)
-            got = math.log(p / (1 - p))
-            if len(self._after) < 200_000:
-                self._after[word] = got
-        return got
+    def __init__(self, counts: dict, totals: dict[int, float], marks: dict[str, float]):
+        self.counts, self.totals, self.marks = counts, totals, marks
+        ended, stops = totals.get(ENDED, 0.0), totals.get(STOP, 0.0)
+        self.share = min(max(ended / (ended + stops + 1.0), 0.05), 0.95)
+        # words and characters as words are counted apart: a line has many more of the latter
+        self.start, self.inside = ({False: totals.get(k, 0.0) + 1.0, True: totals.get(-1 - k, 0.0) + 1.0} for k in (FIRST, INSIDE))
+        self.ends = min(max((totals.get(BEFORE_END, 0.0) + 1.0) / (totals.get(SEEN, 0.0) + 10.0), 0.001), 0.5)
+
+    def count(self, kind: int, a: str, b: str = "") -> float:
+        return float(self.counts.get((kind, a, b), 0.0))
+
+    def chance(self, word: str) -> float:
+        """Probability that a sentence ends behind ``word``, which has a full stop."""
+        e, i = self.count(ENDED, word), self.count(STOP, word)
+        n = len(LETTER.findall(word))
+        guess, held = (0.95, 8.0) if word == "<)>." else (0.05, 3.0) if n <= 1 else (0.4, 3.0) if n <= 3 else (0.85, 8.0 if n > 4 else 3.0)
+        # words that end sentences stand at line ends as often as sentences do
+        p = (e + held * self.share * guess) / (e + i + held) / self.share
+        return min(max(p, 0.002), 0.995)
+
+    def begins(self, word: str) -> float:
+        start = self.start[bool(HAN.match(word))]
+        return (self.count(FIRST, "", word) + 0.5) / (start + 0.5)
+
+    def goes_on(self, word: str) -> float:
+        han = bool(HAN.match(word))
+        return (self.count(INSIDE, "", word) + 0.5 * self.inside[han] / self.start[han]) / (self.inside[han] + 0.5)
 
     def before(self, word: str) -> float:
         """Log odds that ``word`` begins a sentence, against what all words do."""
-        got = self._before.get(word)
+        return min(max(math.log(self.begins(word) / self.goes_on(word)), -4.0), 4.0)
+
+    def stop(self, left: str, right: str) -> float:
+        """Log odds of ``left. boundary right`` against ``left. right``."""
+        a, b = _plain(left), _head(right)
+        p = self.chance(a)
+        first, on = self.begins(b), self.goes_on(b)
+        # of the pairs seen, those that boundaries don't explain speak for running on
+        alone = max(self.count(PAIR, a, b) - OWN, 0.0) * (1.0 - p * first / (p * first + (1.0 - p) * on))
+        held = 2.0 + self.count(PAIR_TYPES, a)  # the more words have followed, the likelier a new one
+        behind = (alone + held * on) / (max(self.count(STOP, a) - OWN, 0.0) * (1.0 - p) + held)
+        return math.log(p / (1 - p)) + min(max(math.log(first / behind), -4.0), 4.0)
+
+    def mark(self, mark: str, right: str) -> float:
+        """Log odds of ``mark boundary right`` against ``mark right``."""
+        got = self.marks.get(mark)
         if got is None:
-            k = _bucket(_plain(word))
-            s, m = float(self.tables[START][k]), float(self.tables[INSIDE][k])
-            p, q = (s + 0.5) / (self.start + 0.5), (m + 0.5 * self.inside / self.start) / (self.inside + 0.5)
-            got = min(max(math.log(p / q), -4.0), 4.0)
-            if len(self._before) < 200_000:
-                self._before[word] = got
-        return got
+            p = PRIOR.get(mark, 0.95)
+            got = math.log(p / (1 - p))
+        return got if abs(got) >= SETTLED else got + self.before(_head(right))
+
+    def plain(self, a: str, b: str) -> float:
+        """Log odds of ``a boundary b`` against ``a b`` where nothing marks it."""
+        n = self.count(SEEN, a)
+        p = min(max((self.count(BEFORE_END, a) + 4.0 * self.ends) / (n + 4.0), 0.0005), 0.98)
+        held = 2.0 + self.count(NEXT_TYPES, a)
+        behind = (max(self.count(NEXT, a, b) - OWN, 0.0) + held * self.goes_on(b)) / (max(n - OWN, 0.0) * (1.0 - p) + held)
+        return math.log(p / (1 - p)) + min(max(math.log(self.begins(b) / behind), -5.0), 5.0)
+
+
+def share_of_boundaries(bins: list[tuple[float, float]], prior: float, rounds: int = 60) -> float:
+    """Of a mark's occurrences the share with a boundary behind it, by expectation
+    maximisation. bins: (log of how much likelier the next words begin sentences than go on, number)."""
+    p = prior
+    for _ in range(rounds):
+        hit = sum(n * p / (p + (1.0 - p) * math.exp(-x)) for x, n in bins)
+        p = min(max((hit + 2.0 * prior) / (sum(n for _, n in bins) + 2.0), 0.0005), 0.9997)
+    return p
 
 
 def posteriors(odds: list[float], gaps: list[int]) -> list[float]:
@@ -213,9 +337,8 @@ def line_cuts(model: HiddenEvents, line: str, threshold: float = 0.5) -> list[in
         if after in CLOSERS and after not in OPENERS or after in ",;:،、，；：" or CLUSTER.match(line, d) and c == d:
             continue
         here = 0.0
-        if sure:
-            here = 8.0
-        elif mark == ".":
+        kind = mark_of(mark)
+        if kind == ".":
             if c == b and d == b:  # no blank: inside a number or an abbreviation, or a blank was lost
                 if not (after.isalpha() or after in OPENERS) or a == 0 or not (line[a - 1].isalpha() or line[a - 1] in CLOSERS or ord(line[a - 1]) > 0x300):
                     continue
@@ -223,15 +346,14 @@ def line_cuts(model: HiddenEvents, line: str, threshold: float = 0.5) -> list[in
             word = _word_before(line, a)
             if NUMBER.match(word) and a - len(word) == begin:
                 continue  # the number of a list's item
-            here += model.after(word + ".") + model.before(_word_after(line, d))
-        elif "|" in mark:
-            before = line[:a].rstrip()[-1:]
-            if not ("ऀ" <= before <= "෿" or before in CLOSERS):
-                continue
-            here = 4.0
-        else:  # dots: a pause that mostly runs on
-            here = -1.5 + model.before(_word_after(line, d))
-            if after.islower():
+            here += model.stop(word + ".", _word_after(line, d))
+        else:
+            if kind == "|":
+                before = line[:a].rstrip()[-1:]
+                if not ("ऀ" <= before <= "෿" or before in CLOSERS):
+                    continue
+            here += model.mark(kind, _word_after(line, d))
+            if kind == "..." and after.islower():  # a pause that mostly runs on
                 here -= 2.0
         if closers and line[unit] in QUOTES_OPEN and any(x in QUOTES_CLOSE for x in closers):
             # the words that tell who spoke carry the quoted sentence on
@@ -249,12 +371,13 @@ def line_cuts(model: HiddenEvents, line: str, threshold: float = 0.5) -> list[in
 
 
 def unmarked_cuts(model: HiddenEvents, line: str, threshold: float = 0.5) -> list[int]:
-    """As line_cuts for a line without marks: an event is possible before every word."""
-    found = [m.start() for m in re.finditer(r"\S+", line)][1:]
-    if not found:
+    """As line_cuts for a line without marks: an event is possible in every gap."""
+    gaps = units(line)
+    if not gaps:
         return []
-    odds = [2.0 * model.before(_word_after(line, p)) - 4.0 for p in found]
-    return [p for p, q in zip(found, posteriors(odds, [1] * len(found)), strict=True) if q > threshold]
+    odds = [model.plain(a, b) for _, a, b in gaps]
+    words = [0] + [max(1, (y - x + 1) // 2) if HAN.match(line, y) else 1 for (x, _, _), (y, _, _) in zip(gaps, gaps[1:], strict=False)]
+    return [p for (p, _, _), q in zip(gaps, posteriors(odds, words), strict=True) if q > threshold]
 
 
 def cuts(model: HiddenEvents, text: str, unpunctuated: bool = False) -> list[int]:
@@ -274,77 +397,129 @@ def cuts(model: HiddenEvents, text: str, unpunctuated: bool = False) -> list[int
     return out
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [Counter(), Counter(), Counter(), Counter()]
-
-    def give() -> Iterator[pa.RecordBatch]:
-        for k, counter in enumerate(held):
-            by = Counter()
-            for w, n in counter.items():
-                by[_bucket(_plain(w))] += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k] * len(by), pa.int32()), pa.array(list(by), pa.int32()), pa.array(list(by.values()), pa.int64())], names=["table", "bucket", "n"]
-            )
-            counter.clear()
-
-    for b in batches:
-        for lo in range(0, b.num_rows, 2048):
-            for mine, new in zip(held, count_lines(b.column(0).slice(lo, 2048).to_pylist()), strict=True):
-                mine.update(new)
-            if sum(map(len, held)) > 400_000:
-                yield from give()
-    yield from give()
-
-
-def learn(texts: DataFrame) -> HiddenEvents:
-    """The model of all of ``texts`` (column text). At most 4 * BUCKETS sums reach the driver."""
-    rows = texts.where("text is not null").select("text").mapInArrow(_count_rows, "table int, bucket int, n bigint")
-    sums = rows.groupBy("table", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    tables = np.zeros((4, BUCKETS), np.float32)
-    tables[sums.column("table").to_numpy(), sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
-    return HiddenEvents(tables)
-
+def _count_rows(unpunctuated: bool, most: int = 400_000):
+    """Rows (block, kind, a, b, n): counts have block -1; what a block asks for has its block and n 0."""
 
-def _cut_rows(model: HiddenEvents, unpunctuated: bool, sentences: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
-                row, no, at, end, out = [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    got = cuts(model, text, unpunctuated)
-                    if sentences:
-                        first = len(text) - len(text.lstrip())
-                        for k, (x, y) in enumerate(zip([first, *got], [*got, len(text)], strict=True)):
-                            s = text[x:y].rstrip()
-                            if s:
-                                row.append(i), no.append(k), at.append(x), end.append(x + len(s)), out.append(s)
-                    else:
-                        row += [i] * len(got)
-                        at += got
-                keys = part.column(0).take(pa.array(row, pa.int64()))
-                if sentences:
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(no, pa.int64()), pa.array(at, pa.int64()), pa.array(end, pa.int64()), pa.array(out, pa.string())], names=["_key", "sentence", "start_at", "end_at", "sentence_text"])
-                else:
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(at, pa.int64())], names=["_key", "cut_at"])
+        held: Counter = Counter()
+        asked: set[tuple] = set()
+
+        def give() -> Iterator[pa.RecordBatch]:
+            rows = [(-1, *k, n) for k, n in held.items() if n] + [(*k, 0) for k in asked]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["block", "kind", "a", "b", "n"])
+            held.clear()
+            asked.clear()
+
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = count_lines([text], unpunctuated)
+                held.update(own)
+                asked.update((block, *k) for k in asked_of(text, own, unpunctuated))
+            if len(held) + len(asked) > most:
+                yield from give()
+        yield from give()
 
     return run
 
 
-def sentence_cuts(rows: DataFrame, key: str, text: str, model: HiddenEvents | None = None, unpunctuated: bool = False) -> DataFrame:
-    """key, cut_at of every sentence but a text's first. Null, empty and blank texts
-    and texts of one sentence have no row; repeated rows count once; columns of
-    other names are left behind. Without a model one is learnt from these rows."""
-    model = model or learn(rows.select(F.col(text).alias("text")))
+def _totals(counts: DataFrame) -> dict[int, float]:
+    """Sums by kind, -1 - kind for those of characters as words: twice eleven at most."""
+    kind = F.when(F.col("b").rlike(f"^{HAN.pattern}") & F.col("kind").isin(FIRST, INSIDE), -1 - F.col("kind")).otherwise(F.col("kind"))
+    return {r["kind"]: float(r["n"]) for r in counts.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect()}
+
+
+def _expected(counts: DataFrame, marks: dict[str, float]) -> Column:
+    """What a row counts as a beginning of sentences: lines' first words in full, words after marks by the marks' shares."""
+    share = F.lit(1.0)
+    for m, x in marks.items():
+        share = F.when((F.col("kind") == MARKED) & (F.col("a") == m), 1.0 / (1.0 + math.exp(-x))).otherwise(share)
+    return F.when(F.col("kind").isin(FIRST, MARKED), F.col("n") * share).otherwise(0.0)
+
+
+def _marks(counts: DataFrame, rounds: int = 3, width: float = 0.25) -> dict[str, float]:
+    """Log odds of each mark, by expectation maximisation over marks' shares and over the
+    words that begin sentences. The next words' likelihoods are gathered in bins, so at
+    most marks x bins rows reach the driver, whatever the vocabulary."""
+    counts = counts.where(F.col("kind").isin(FIRST, INSIDE, MARKED))
+    inside = _totals(counts)
+    on = F.when(F.col("kind") == INSIDE, F.col("n")).otherwise(0)
+    marks: dict[str, float] = {m: -30.0 for m in [*SURE, "|", "..."]}  # first, lines' first words alone
+    for _ in range(rounds):
+        words = counts.groupBy("b").agg(F.sum(_expected(counts, marks)).alias("f"), F.sum(on).alias("i"))
+        start = _totals(words.select(F.lit(FIRST).alias("kind"), "b", F.col("f").alias("n")))
+        of = lambda t, k: F.when(F.col("b").rlike(f"^{HAN.pattern}"), t.get(-1 - k, 0.0) + 1.0).otherwise(t.get(k, 0.0) + 1.0)
+        s, m = of(start, FIRST), of(inside, INSIDE)
+        ratio = F.log((F.col("f") + 0.5) / (s + 0.5)) - F.log((F.col("i") + 0.5 * m / s) / (m + 0.5))
+        near = F.coalesce(F.least(F.lit(4.0), F.greatest(F.lit(-4.0), ratio)), F.lit(0.0))
+        met = counts.where(F.col("kind") == MARKED).select("a", "b", "n").join(words, "b", "left")
+        bins: dict[str, list[tuple[float, float]]] = {}
+        for r in met.groupBy("a", F.round(near / width).alias("x")).agg(F.sum("n").alias("n")).collect():
+            bins.setdefault(r["a"], []).append((r["x"] * width, float(r["n"])))
+        found = {mark: share_of_boundaries(b, PRIOR.get(mark, 0.95)) for mark, b in bins.items()}
+        marks = {mark: math.log(p / (1 - p)) for mark, p in found.items()}
+    return marks
+
+
+def _cut_rows(part: pa.Table, model: HiddenEvents, unpunctuated: bool, sentences: bool) -> pa.Table:
+    row, no, at, end, out = [], [], [], [], []
+    for i, text in enumerate(part.column("_text").to_pylist()):
+        got = cuts(model, text, unpunctuated)
+        if sentences:
+            first = len(text) - len(text.lstrip())
+            for k, (x, y) in enumerate(zip([first, *got], [*got, len(text)], strict=True)):
+                s = text[x:y].rstrip()
+                if s:
+                    row.append(i), no.append(k), at.append(x), end.append(x + len(s)), out.append(s)
+        else:
+            row += [i] * len(got)
+            at += got
+    keys = part.column("_key").take(pa.array(row, pa.int64()))
+    if sentences:
+        return pa.table({"_key": keys, "sentence": pa.array(no, pa.int64()), "start_at": pa.array(at, pa.int64()), "end_at": pa.array(end, pa.int64()), "sentence_text": pa.array(out, pa.string())})
+    return pa.table({"_key": keys, "cut_at": pa.array(at, pa.int64())})
+
+
+def _decided(rows: DataFrame, key: str, text: str, unpunctuated: bool, sentences: bool, block_rows: int, learn_from: DataFrame | None) -> DataFrame:
     kind = rows.schema[key].dataType.simpleString()
     held = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null")
-    return held.mapInArrow(_cut_rows(model, unpunctuated, False), f"_key {kind}, cut_at bigint").distinct().withColumnRenamed("_key", key)
+    blocks = max(1, -(-held.count() // block_rows))
+    block: Column = F.pmod(F.xxhash64("_key"), F.lit(blocks))
+    held = held.withColumn("_block", block.cast("bigint"))
+    source = held.select("_block", "_text")
+    if learn_from is not None:  # counts of other texts; what these ask for is still asked
+        source = learn_from.where("text is not null").select(F.lit(-1).cast("bigint").alias("_block"), F.col("text").alias("_text"))
+    raw = cut(source.mapInArrow(_count_rows(unpunctuated), "block bigint, kind int, a string, b string, n bigint"))
+    counts = cut(raw.where("block = -1").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    totals, marks = _totals(counts), _marks(counts)
+    # what marks are expected to begin counts as firsts
+    firsts = counts.where(F.col("kind").isin(FIRST, MARKED)).groupBy("b").agg(F.sum(_expected(counts, marks)).alias("n"))
+    totals |= _totals(firsts.withColumn("kind", F.lit(FIRST)))
+    known = counts.where(~F.col("kind").isin(FIRST, MARKED)).withColumn("n", F.col("n").cast("double"))
+    types = counts.where(F.col("kind").isin(PAIR, NEXT)).groupBy(F.when(F.col("kind") == PAIR, PAIR_TYPES).otherwise(NEXT_TYPES).alias("kind"), "a")
+    known = known.unionByName(types.agg(F.count("*").cast("double").alias("n")).select("kind", "a", F.lit("").alias("b"), "n"))
+    known = known.unionByName(firsts.select(F.lit(FIRST).alias("kind"), F.lit("").alias("a"), "b", "n"))
+    asked = raw.where("block >= 0") if learn_from is None else held.select("_block", "_text").mapInArrow(_count_rows(unpunctuated), raw.schema).where("block >= 0")
+    words = asked.select(F.col("block").alias("_block"), "kind", "a", "b").distinct().join(known, ["kind", "a", "b"])
+
+    def decide(texts: pa.Table, have: pa.Table) -> pa.Table:
+        k, a, b, n = (have.column(c).to_pylist() for c in ("kind", "a", "b", "n"))
+        return _cut_rows(texts, HiddenEvents(dict(zip(zip(k, a, b, strict=True), n, strict=True)), totals, marks), unpunctuated, sentences)
+
+    schema = f"_key {kind}, " + ("sentence bigint, start_at bigint, end_at bigint, sentence_text string" if sentences else "cut_at bigint")
+    return held.groupBy("_block").cogroup(words.groupBy("_block")).applyInArrow(decide, schema).withColumnRenamed("_key", key)
+
+
+def sentence_cuts(rows: DataFrame, key: str, text: str, unpunctuated: bool = False, block_rows: int = 20_000, learn_from: DataFrame | None = None) -> DataFrame:
+    """key, cut_at of every sentence but a text's first. Null, empty and blank texts
+    and texts of one sentence have no row; repeated rows count once; columns of
+    other names are left behind. The model is learnt from these rows, or from the
+    column text of ``learn_from``."""
+    return _decided(rows, key, text, unpunctuated, False, block_rows, learn_from).distinct()
 
 
-def sentence_units(rows: DataFrame, key: str, text: str, model: HiddenEvents | None = None, unpunctuated: bool = False) -> DataFrame:
-    """key, sentence (from 0), start_at, end_at, sentence_text: every text's sentences in order."""
-    model = model or learn(rows.select(F.col(text).alias("text")))
-    kind = rows.schema[key].dataType.simpleString()
-    held = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text is not null")
-    schema = f"_key {kind}, sentence bigint, start_at bigint, end_at bigint, sentence_text string"
-    return held.mapInArrow(_cut_rows(model, unpunctuated, True), schema).withColumnRenamed("_key", key)
+def sentence_units(rows: DataFrame, key: str, text: str, unpunctuated: bool = True, block_rows: int = 20_000, learn_from: DataFrame | None = None) -> DataFrame:
+    """key, sentence (from 0), start_at, end_at, sentence_text: every text's sentences in
+    order, those of lines without marks too unless ``unpunctuated`` is off."""
+    return _decided(rows, key, text, unpunctuated, True, block_rows, learn_from)

@@ -157,12 +157,19 @@ def test_normal_form_is_stable(text):
     assert lookalikes.normal_form(once) == once and unicodedata.is_normalized("NFC", once)
 
 
-def tables(lines):
-    t = np.zeros((4, sentences.BUCKETS), np.float32)
-    for k, c in enumerate(sentences.count_lines(lines)):
-        for w, n in c.items():
-            t[k, sentences._bucket(sentences._plain(w))] += n
-    return sentences.HiddenEvents(t)
+def events(lines, all_words=False):
+    counts = dict(sentences.count_lines(lines, all_words))
+    totals = {}
+    for (kind, _, b), n in counts.items():
+        kind = -1 - kind if kind in (sentences.FIRST, sentences.INSIDE) and sentences.HAN.match(b) else kind
+        totals[kind] = totals.get(kind, 0.0) + n
+    for (kind, a, b), n in list(counts.items()):
+        if kind in (sentences.PAIR, sentences.NEXT):
+            types = sentences.PAIR_TYPES if kind == sentences.PAIR else sentences.NEXT_TYPES
+            counts[types, a, ""] = counts.get((types, a, ""), 0) + 1
+        if kind == sentences.MARKED:
+            counts[sentences.FIRST, "", b] = counts.get((sentences.FIRST, "", b), 0) + n
+    return sentences.HiddenEvents(counts, totals, {})
 
 
 LINES = ["The man saw Dr. Smith today.", "He went e.g. home again now.", "The end came to us today.", "She said it was late now. The dog went home.", "We met Dr. Brown at noon. He went home."] * 30
@@ -182,10 +189,38 @@ CASES = [
 
 @pytest.mark.parametrize("text, starts", CASES)
 def test_sentence_starts(text, starts):
-    got = sentences.cuts(tables(LINES), text)
+    got = sentences.cuts(events(LINES), text)
     assert [text[k:].startswith(s) for k, s in zip(got, starts, strict=True)] == [True] * len(starts)
 
 
+HINDI = ["वह घर में गया था।", "मन का दीपक जलता है।", "यह नदी बहती रहती है।", "उस गाँव में एक शिक्षक रहता था।", "हम सब साथ चलते हैं।", "यह फल मीठा है।", "वह मित्र आया था।", "जीवन में साधना चाहिए।"] * 12
+HAN = ["他去了山上。", "我们在这里学习。", "老师说话很慢。", "这条河流很长。", "他有一个朋友。", "我们喜欢读书。", "这里没有人。", "老师住在村里。"] * 12
+BREAKS = [("वह घर में गया था यह फल मीठा है हम सब साथ चलते हैं", ["यह", "हम"]), ("他去了山上我们喜欢读书这条河流很长", ["我们", "这条"]), ("यह", [])]
+
+
+@pytest.mark.parametrize("text, starts", BREAKS)
+def test_sentences_without_marks(text, starts):
+    got = sentences.cuts(events(HINDI + HAN, True), text, True)
+    assert [next((s for s in starts if text[k:].startswith(s)), text[k:]) for k in got] == starts
+
+
+def test_marks_learn_what_follows_them():
+    start, inside = [(2.0, 90.0), (-1.0, 10.0)], [(-2.0, 90.0), (0.5, 10.0)]
+    assert sentences.share_of_boundaries(start, 0.5) > 0.9 and sentences.share_of_boundaries(inside, 0.5) < 0.15
+    assert sentences.share_of_boundaries([], 0.8) == pytest.approx(0.8)
+
+
+def test_sentence_units_in_blocks(spark):
+    rows = [(i, t) for i, t in enumerate([a + b for a, b in zip(HINDI[:8], HINDI[1:9], strict=True)] + [t for t, _ in BREAKS])]
+    df = spark.createDataFrame(rows, "segment_key bigint, source_text string").withColumn("sentence", F.lit("x"))
+    learnt = spark.createDataFrame([(t,) for t in HINDI + HAN] + [(None,)], "text string")
+    a = sorted(map(tuple, sentences.sentence_units(df, "segment_key", "source_text", learn_from=learnt, block_rows=2).collect()))
+    b = sorted(map(tuple, sentences.sentence_units(df, "segment_key", "source_text", learn_from=learnt).collect()))
+    assert a == b and [r[4] for r in a if r[0] == 9] == ["他去了山上", "我们喜欢读书", "这条河流很长"]
+    for k, text in rows:
+        assert "".join(text[x:y] for i, _, x, y, _ in a if i == k).replace(" ", "") == text.replace(" ", "")
+
+
 def test_posteriors_against_enumeration():
     import itertools
     import math
@@ -207,6 +242,7 @@ def test_posteriors_against_enumeration():
 def test_sentence_rows_of_odd_tables(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "क है। ख है।"), (3, "क है। ख है।")], "segment_key bigint, source_text string").withColumn("cut_at", F.lit("x"))
     assert [tuple(r) for r in sentences.sentence_cuts(df, "segment_key", "source_text").collect()] == [(3, 6)]
+    assert [tuple(r) for r in sentences.sentence_cuts(df.replace("क है। ख है।", "a\nb"), "segment_key", "source_text").collect()] == [(3, 2)]
     assert sentences.sentence_cuts(df.limit(0), "segment_key", "source_text").count() == 0
 
 
