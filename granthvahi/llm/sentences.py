@@ -23,6 +23,8 @@ grows with the corpus and nothing is hashed into shared buckets.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -60,6 +62,7 @@ _TWINS = str.maketrans(TO_LATIN)
 STOPS = frozenset(SURE + ".…|")
 
 
+@functools.lru_cache(200_000)
 def _plain(word: str) -> str:
     """The form a word is counted in: without quotes and brackets, numbers as one."""
     w = word
@@ -88,9 +91,13 @@ HAN = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 
 #: A character of a script without blanks behind another: what goes on inside a sentence.
 HAN_NEXT = re.compile("(?<=[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff])[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+#: A full stop with no blank after it; what no sentence begins with.
 NO_START = "".join(c for c in CLOSERS if c not in OPENERS) + ",;:،、，；："
 
 
+TIGHT = re.compile(r"(?<=[^\s.])\.(?=[^\s.\d,;:])")
+
+
 def _behind(line: str, at: int) -> int:
     """The place behind an end mark's closing quotes and brackets, numbers of verses and blanks."""
     while at < len(line) and line[at] in CLOSERS and line[at] not in OPENERS:
@@ -115,6 +122,7 @@ def units(line: str) -> list[tuple[int, str, str]]:
     return out
 
 
+@functools.lru_cache(200_000)
 def _head(word: str) -> str:
     return word[:1] if HAN.match(word) else _plain(word)
 
@@ -126,6 +134,7 @@ def _last(word: str) -> str:
 def count_lines(texts: list[str], all_words: bool = False) -> Counter:
     """Counts by (kind, word, word after); with ``all_words`` also of plain words and their pairs."""
     got: Counter = Counter()
+    inside: list[str] = []
     for text in texts:
         for line in text.split("\n"):
             words = line.split()
@@ -141,18 +150,20 @@ def count_lines(texts: list[str], all_words: bool = False) -> Counter:
                     got[FIRST, "", _plain(words[0])] += 1
                 before = words[0]
                 for w in words[1:]:
-                    core = before.rstrip(CLOSERS)
-                    if core[-1:] not in STOPS:
-                        got[INSIDE, "", _head(w)] += 1
-                    elif core[-1:] == "." and not core.endswith(".."):
+                    last = before[-1]
+                    if last in CLOSERS:
+                        last = before.rstrip(CLOSERS)[-1:]
+                    if last not in STOPS:
+                        inside.append(_head(w))
+                    elif last == "." and not before.rstrip(CLOSERS).endswith(".."):
                         got[STOP, _plain(before), ""] += 1
                         got[PAIR, _plain(before), _head(w)] += 1
                     before = w
                 if before.rstrip(CLOSERS).endswith("."):
                     got[ENDED, _plain(before), ""] += 1
-            for c in HAN_NEXT.findall(line):
-                got[INSIDE, "", c] += 1
-            for m in re.finditer(r"(?<=[^\s.])\.(?=[^\s.\d,;:])", line):  # a stop without a blank after it
+            if not line.isascii():
+                inside += HAN_NEXT.findall(line)
+            for m in TIGHT.finditer(line) if "." in line else ():  # a stop without a blank after it
                 a, b = _plain(_word_before(line, m.end())), _head(_word_after(line, m.end()))
                 got[STOP, a, ""] += 0
                 got[PAIR, a, b] += 0
@@ -166,6 +177,7 @@ def count_lines(texts: list[str], all_words: bool = False) -> Counter:
                     if gaps and tail:
                         got[BEFORE_END, _last(tail.split()[-1]), ""] += 1
                         got[SEEN, _last(tail.split()[-1]), ""] += 1
+    got.update(zip(itertools.repeat(INSIDE), itertools.repeat(""), inside))
     return got
 
 
@@ -415,8 +427,10 @@ def _count_rows(unpunctuated: bool, most: int = 400_000):
         for batch in batches:
             for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = count_lines([text], unpunctuated)
-                held.update(own)
-                asked.update((block, *k) for k in asked_of(text, own, unpunctuated))
+                for k, n in own.items():
+                    held[k] += n
+                for k in asked_of(text, own, unpunctuated):
+                    asked.add((block, *k))
             if len(held) + len(asked) > most:
                 yield from give()
         yield from give()
@@ -508,6 +522,9 @@ def _decided(rows: DataFrame, key: str, text: str, unpunctuated: bool, sentences
         return _cut_rows(texts, HiddenEvents(dict(zip(zip(k, a, b, strict=True), n, strict=True)), totals, marks), unpunctuated, sentences)
 
     schema = f"_key {kind}, " + ("sentence bigint, start_at bigint, end_at bigint, sentence_text string" if sentences else "cut_at bigint")
+    # a task is a block or two, however many there are
+    tasks = max(blocks, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held, words = held.repartition(tasks, "_block"), words.repartition(tasks, "_block")
     return held.groupBy("_block").cogroup(words.groupBy("_block")).applyInArrow(decide, schema).withColumnRenamed("_key", key)
 
 
