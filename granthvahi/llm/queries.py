@@ -12,7 +12,7 @@ from .language import language_stretches, languages_beside_label
 from .lookalikes import same_look, unify
 from .nearest_time import nearest, read_seconds
 from .packing import pack
-from .scans import learn, page_damage, repaired_pages
+from .scans import page_damage, repaired_pages
 from .quality import text_statistics
 from .sentences import sentence_cuts, sentence_units
 from .splitting import split_oversized
@@ -126,13 +126,13 @@ def _common(spark: SparkSession, d: str, most: int = 20_000) -> frozenset[str]:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The kinds of damage of each scanned segment."""
     pages, typed = _scanned(spark, d)
-    return page_damage(pages, learn(typed, _common(spark, d))).withColumnRenamed("key", "segment_key")
+    return page_damage(pages, typed, _common(spark, d)).withColumnRenamed("key", "segment_key")
 
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     """The repaired text of each scanned segment."""
     pages, typed = _scanned(spark, d)
-    return repaired_pages(pages, learn(typed, _common(spark, d))).distinct().withColumnRenamed("key", "segment_key")
+    return repaired_pages(pages, typed, _common(spark, d)).distinct().withColumnRenamed("key", "segment_key")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

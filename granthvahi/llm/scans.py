@@ -3,39 +3,47 @@
 What belongs to the page and not to the text (page numbers, running headers) is
 found by its form, by the book's title and page, and by holding none of the words
 that only running text has. Words broken at line ends are joined unless the
-corpus knows the compound. Misread words are corrected by a noisy channel: each
-word the corpus doesn't know is a possible misreading of the words that character
-confusions lead to; the line's most likely words under corpus n-gram counts are
-decoded by Viterbi. Counts come from all typed text and lie in hash tables of a
-fixed number of buckets, so the model doesn't grow with the corpus.
+corpus knows the compound. Misread words are corrected by a noisy channel:
+
+* A word that typed text doesn't have is a possible misreading of every word that
+  character confusions lead to, however many letters are misread: confusable
+  characters are of one class, and words that are the same up to classes meet in a join.
+* How often each character is misread for which is estimated from the corpus itself, by
+  expectation maximisation over the unknown words and what they may stand for.
+* Every stretch of doubtful words with its neighbours is decoded by Viterbi: the
+  channel's probabilities times the counts of words and of pairs of words.
+
+Counts come from all typed text and stay tables: pages are cut into blocks, and a
+block is joined with the counts of its own words and pairs only, so no task holds a
+model that grows with the corpus and no two words share a counter.
 """
 
 from __future__ import annotations
 
 import difflib
+import functools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .lookalikes import TO_LATIN, normal_form
 
-WORD_BUCKETS, PAIR_BUCKETS = 1 << 19, 1 << 20
-WORD_A, WORD_B, TITLE, PAIR = range(4)
-
-# What the scanner reads (left) for what is printed (right), with the share of such misreadings.
+# What the scanner reads (left) for what is printed (right).
 CONFUSIONS = {
     "|": "ा ા", "ऱ": "र", "ब": "व", "ष": "प", "भ": "म", "ी": "ि", "थ": "य", "घ": "ध", "ढ": "ट", "૨": "ર", "ષ": "પ", "થ": "ય", "ભ": "મ", "ઘ": "ધ", "વ": "બ",
     "c": "e", "!": "i", "b": "h", "f": "t", "u": "n", "1": "l", "5": "s", "0": "o", "9": "g", "rn": "m", "प": "ष", "म": "भ", "व": "ब", "य": "थ",
 }
-#: Confusions in which the printed letter is the rarer one; they weigh less.
-UNLIKELY = frozenset("पमवय")
+#: A misreading's probability before any is estimated, as (seen, of so many printed).
+PRIOR = (1.0, 50.0)
+#: What a word not in the corpus weighs beside counts of words, and one with bars, exclamation marks or digits among its letters.
+UNSEEN, ODD_UNSEEN = 0.02, 2e-6
+ODD = re.compile(r"[|ऱ!]|(?<=[^\W\d_])\d|\d(?=[^\W\d_])")
 #: Characters that no word holds between letters: their misreading needs no vocabulary.
 ALIEN = re.compile(r"(?<=[ऀ-ॣॱ-ॿ઀-૥])\|(?=[ऀ-ॣॱ-ॿ઀-૥])|(?<=[઀-૥])૨|૨(?=[઀-૥])|(?<=[A-Za-zÀ-ɏ])[!1509](?=[a-zÀ-ɏ])")
 
@@ -68,81 +76,82 @@ def words_of(line: str) -> list[str]:
     return [w.lower() for w in SPLIT.split(line) if w and not w.isdigit()]
 
 
-def _slots(word: str) -> tuple[int, int]:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h & (WORD_BUCKETS - 1), (h >> 32) & (WORD_BUCKETS - 1)
+def _classes() -> dict[str, str]:
+    """Each confusable character with the one that stands for its class."""
+    of: dict[str, str] = {}
+    for seen, printed in CONFUSIONS.items():
+        if len(seen) == 1:
+            for p in printed.split():
+                one, other = of.get(seen, seen), of.get(p, p)
+                for c in [c for c, k in of.items() if k == other] + [p, seen]:
+                    of[c] = one
+    return of
 
 
-def _pair(a: str, b: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{a}\x00{b}") & (PAIR_BUCKETS - 1)
+CLASSES = _classes()
 
 
-class Corpus:
-    """Counts of words, of words in headings and of word pairs, in fixed tables."""
+def shape(word: Column) -> Column:
+    """The word with confusable characters as their classes: no misreading changes it."""
+    classed = F.translate(word, "".join(CLASSES), "".join(CLASSES.values()))
+    for seen, printed in CONFUSIONS.items():
+        if len(seen) > 1:
+            classed = F.replace(classed, F.lit(_classed(seen)), F.lit(_classed(printed)))
+    return classed
 
-    def __init__(self, words_a: np.ndarray, words_b: np.ndarray, titles: np.ndarray, pairs: np.ndarray, total: float, titled: float, common: frozenset[str]):
-        self.words_a, self.words_b, self.titles, self.pairs = words_a, words_b, titles, pairs
-        self.total, self.titled, self.common = total, titled, common
-        self._count: dict[str, int] = {}
 
-    def __getstate__(self):  # noqa: ANN204
-        return {k: v for k, v in self.__dict__.items() if k != "_count"}
+def _classed(text: str) -> str:
+    return "".join(CLASSES.get(c, c) for c in text)
 
-    def __setstate__(self, state):  # noqa: ANN001, ANN204
-        self.__dict__.update(state)
-        self._count = {}
 
-    def count(self, word: str) -> int:
-        n = self._count.get(word)
-        if n is None:
-            a, b = _slots(word)
-            n = int(min(self.words_a[a], self.words_b[b]))
-            if len(self._count) < 300_000:
-                self._count[word] = n
-        return n
+def explain(word: str, original: str, chances: dict[tuple[str, str], float]) -> tuple[float, list[tuple[str, str]]] | None:
+    """Log probability and misreadings by which ``original`` was read as ``word``; None if no confusions do."""
+    latin = any(c.isascii() and c.isalpha() for c in word)
+    best: dict[tuple[int, int], tuple[float, list[tuple[str, str]]]] = {(0, 0): (0.0, [])}  # by places in both: score, misreadings
+    front = [(0, 0)]
+    while front:
+        later = []
+        for i, j in sorted(set(front)):
+            if i == len(word) or j == len(original):
+                continue
+            score, done = best[i, j]
+            steps = [((i + 1, j + 1), 0.0, [])] if word[i] == original[j] else []
+            for seen in (word[i], word[i : i + 2]):
+                if original[j] in CONFUSIONS.get(seen, "").split() and (latin or seen not in "15059!"):
+                    beside = word[i - 1 : i] or word[i + 1 : i + 2]
+                    if seen != "|" or ("ऀ" <= beside <= "ॿ" if original[j] == "ा" else "઀" <= beside <= "૿"):
+                        steps.append(((i + len(seen), j + 1), math.log(chances.get((seen, original[j]), PRIOR[0] / PRIOR[1])), [(seen, original[j])]))
+            for at, cost, what in steps:
+                if at not in best or best[at][0] < score + cost:
+                    best[at] = (score + cost, done + what)
+                    later.append(at)
+        front = later
+    got = best.get((len(word), len(original)))
+    return got if got and got[1] else None
+
+
+class Corpus:
+    """Counts of words, of words in headings and what words may be misreadings of, for one block of pages."""
+
+    def __init__(self, words: dict[str, int], titles: dict[str, int], originals: dict[str, list[tuple[str, int, float]]], total: float, titled: float, common: frozenset[str]):
+        self.words, self.titles, self.originals = words, titles, originals
+        self.total, self.titled, self.common = total, titled, common
 
-    def pair(self, a: str, b: str) -> int:
-        return int(self.pairs[_pair(a, b)])
+    def count(self, word: str) -> int:
+        return self.words.get(word, 0)
 
+    @functools.lru_cache(200_000)  # noqa: B019 (a block's corpus ends with its task)
     def running(self, word: str) -> bool:
         """A word of running text that headings don't have."""
         if word in self.common:
             return True
         n = self.count(word)
         expected = self.titled * n / self.total  # if headings were like running text
-        return expected >= 4.0 and float(self.titles[_slots(word)[0]]) < 0.1 * expected
-
-
-def repairs(word: str, corpus: Corpus, most: int = 400) -> list[tuple[str, float]]:
-    """Known words that ``word`` may be a misreading of, with log probabilities of the misreading."""
-    places = []
-    for i in range(len(word)):
-        for seen in (word[i : i + 2], word[i]):
-            for printed in CONFUSIONS.get(seen, "").split():
-                script = word[i - 1 : i] or word[i + 1 : i + 2]
-                if seen == "|" and not ("ऀ" <= script <= "ॿ" if printed == "ा" else "઀" <= script <= "૿"):
-                    continue
-                if seen in "15059!" and not any(c.isascii() and c.isalpha() for c in word):
-                    continue
-                places.append((i, len(seen), printed, -4.5 if seen in UNLIKELY else -3.0))
-    found: dict[str, float] = {}
-    layer = [(word, 0, 0.0)]  # what is built, where in the word, cost
-    for _ in range(4):
-        new = []
-        for built, at, cost in layer:
-            shift = len(built) - len(word)
-            for i, n, printed, c in places:
-                if i >= at:
-                    w = built[: i + shift] + printed + built[i + shift + n :]
-                    new.append((w, i + n, cost + c))
-                    if corpus.count(w) >= 2:
-                        found[w] = max(found.get(w, -1e9), cost + c)
-            if len(new) > most:
-                break
-        if found or not new:
-            break
-        layer = new[:most]
-    return sorted(found.items(), key=lambda x: -x[1])
+        return expected >= 4.0 and self.titles.get(word, 0) < 0.1 * expected
+
+    def repairs(self, word: str) -> list[tuple[str, int, float]]:
+        """Known words that ``word`` may be a misreading of: (word, count, log probability of the misreading)."""
+        return self.originals.get(word, [])
 
 
 def unknown(word: str, corpus: Corpus) -> bool:
@@ -152,73 +161,62 @@ def unknown(word: str, corpus: Corpus) -> bool:
     return not (word.endswith("|") and corpus.count(word.rstrip("|")) >= 2)
 
 
-def decode(words: list[str], corpus: Corpus) -> list[str]:
-    """The line's most likely words: Viterbi over each word and its possible originals."""
-    states: list[list[tuple[str, float]]] = []
+Option = tuple[str, int, float]  # a word that may stand here, its count, its score
+
+
+def stretches(words: list[str], corpus: Corpus) -> list[list[list[Option]]]:
+    """Runs of words of which each has several options, with the settled word before and behind:
+    paths meet in a settled word, so what is decoded apart is decoded as the line would be."""
+    options: list[list[Option]] = []
     for w in words:
         n = corpus.count(w)
-        options = [(w, math.log((n if n >= 2 else 0.02) / corpus.total))]
-        if unknown(w, corpus):
-            options += [(c, p + math.log(corpus.count(c) / corpus.total)) for c, p in repairs(w, corpus)[:8]]
-        states.append(options)
-    if all(len(s) == 1 for s in states):
-        return words
-    done: list[str] = []
-    best = [(score, [w]) for w, score in states[0]]
-    for k in range(1, len(states)):
-        if len(best) == 1:  # all paths meet here: what came before is settled
-            done += best[0][1][:-1]
-            best = [(0.0, best[0][1][-1:])]
-        alone = len(best) == 1 == len(states[k])  # the link is the same for all paths
-        new = []
-        for w, score in states[k]:
-            top = None
-            for (old, path) in best:
-                link = 0.0 if alone else math.log1p(corpus.pair(path[-1], w))
-                if top is None or old + link > top[0]:
-                    top = (old + link, path)
-            new.append((top[0] + score, top[1] + [w]))
-        best = new
-    return done + max(best, key=lambda x: x[0])[1]
-
-
-def sure(word: str, original: str, corpus: Corpus) -> bool:
-    """Whether the original is frequent enough, as a share of all words, for a misreading of
-    this word's length. Less than 2 is no word of the corpus."""
+        own = (w, n, math.log((n if n >= 2 else ODD_UNSEEN if ODD.search(w) else UNSEEN) / corpus.total))
+        rest = [(c, k, p + math.log(k / corpus.total)) for c, k, p in corpus.repairs(w)] if unknown(w, corpus) else []
+        options.append([own, *rest])
+    out, k = [], 0
+    while k < len(options):
+        if len(options[k]) == 1:
+            k += 1
+            continue
+        e = k
+        while e < len(options) and len(options[e]) > 1:
+            e += 1
+        out.append(options[max(0, k - 1) : e + 1])
+        k = e
+    return out
+
+
+def decode(options: list[list[Option]], pairs: dict[tuple[str, str], int]) -> list[Option]:
+    """The likeliest words of a stretch: Viterbi over the options of each place and counts of pairs."""
+    best = [(o[2], [o]) for o in options[0]]
+    for here in options[1:]:
+        best = [max(((score + math.log1p(pairs.get((path[-1][0], o[0]), 0)) + o[2], [*path, o]) for score, path in best), key=lambda x: x[0]) for o in here]
+    return max(best, key=lambda x: x[0])[1]
+
+
+def sure(word: str, count: int, total: float) -> bool:
+    """Whether an original of this count is frequent enough, as a share of all words, for a
+    misreading of this word's length. Less than 2 is no word of the corpus."""
     letters = sum(c.isalpha() or ord(c) > 0x2FF for c in word)
     rate = RATES[0] if ALIEN.search(word) or "|" in word or "ऱ" in word else RATES[1] if letters >= 5 else RATES[2] if letters >= 4 else RATES[3]
-    return corpus.count(original) >= max(2.0, rate * corpus.total / 1e6)
-
-
-def misread(word: str, corpus: Corpus) -> str | None:
-    """The word's original if it is surely misread, "" if it is but the original is unknown."""
-    if not unknown(word, corpus):
-        return None
-    got = repairs(word, corpus)
-    if got:
-        best = max(got, key=lambda x: x[1] + math.log(corpus.count(x[0])))
-        if best[1] > -9.5 and sure(word, best[0], corpus):
-            return best[0]
-    if sum(c.isalpha() or ord(c) > 0x2FF for c in word) >= 3 and ALIEN.search(word):
-        return ""
-    return None
-
-
-def misreadings(words: list[str], corpus: Corpus) -> dict[str, str]:
-    """Each misread word with its original: what decode changes, once it is sure, and
-    what it leaves that is surely misread by itself."""
-    doubtful = {w for w in words if unknown(w, corpus)}
-    if not doubtful:
-        return {}
-    fixed: dict[str, str] = {}
-    for old, new in zip(words, decode(words, corpus), strict=True):
-        if old != new and sure(old, new, corpus):
-            fixed.setdefault(old, new)
-    for w in doubtful - fixed.keys():
-        got = misread(w, corpus)
-        if got is not None:
-            fixed[w] = got
-    return fixed
+    return count >= max(2.0, rate * total / 1e6)
+
+
+def alien(word: str) -> bool:
+    """Misread for sure, whatever it was: letters with characters between them that no word has."""
+    return sum(c.isalpha() or ord(c) > 0x2FF for c in word) >= 3 and ALIEN.search(word) is not None
+
+
+def changed(options: list[list[Option]], pairs: dict[tuple[str, str], int], total: float) -> dict[str, str]:
+    """The misread words of a stretch with what decoding puts for them, "" where that is not sure but the word is alien."""
+    out: dict[str, str] = {}
+    for here, (new, n, _) in zip(options, decode(options, pairs), strict=True):
+        old = here[0][0]
+        if old != new and sure(old, n, total):
+            out.setdefault(old, new)
+        elif len(here) > 1 and alien(old):
+            out.setdefault(old, "")
+    return out
 
 
 def _core(line: str) -> tuple[str, bool, str]:
@@ -298,12 +296,46 @@ def own_hyphen(left: str, right: str, corpus: Corpus) -> bool:
         return True
     if corpus.count(whole) >= 2:
         return False
-    return any(corpus.count(c) >= 3 for c, _ in repairs(compound, corpus)[:4]) and not any(corpus.count(c) >= 3 for c, _ in repairs(whole, corpus)[:4])
-
-
-def damages(text: str, title: str | None, page: int | None, corpus: Corpus) -> tuple[set[str], list[str]]:
-    """Kinds of damage of a page's text, and its repaired paragraphs."""
-    lines = plain(text).split("\n")
+    return any(n >= 3 for _, n, _ in corpus.repairs(compound)) and not any(n >= 3 for _, n, _ in corpus.repairs(whole))
+
+
+def _broken(s: str) -> bool:
+    """A line that ends in a broken word."""
+    return len(s) > 1 and s[-1] in HYPHENS and (s[-2].isalpha() or ord(s[-2]) > 0x2FF) and s[-2] not in HYPHENS
+
+
+def _joint(left: str, line: str) -> tuple[str, str]:
+    """The two parts of a broken word as they are looked up."""
+    first = line.partition(" ")[0]
+    m = re.match(r"^([^\s।॥.,;:?!؟۔)\]”’\"]+)(.*)$", first)
+    return re.sub(r"^[\"“‘'(\[]+", "", left).lower(), (m[1] if m else first).lower()
+
+
+def asked_of(text: str) -> tuple[list[str], set[str]]:
+    """A page's words, and other words by whose counts it is decided: broken words joined
+    with the start of every line that may follow when frame lines are left out."""
+    lines = [x.strip() for x in text.split("\n")]
+    words: list[str] = []
+    more: set[str] = set()
+    for i, s in enumerate(lines):
+        words += words_of(s)
+        words += [w for w in words_of(_core(s)[0]) if s]
+        if _broken(s):
+            left = s[s.rfind(" ") + 1 : -1]
+            for later in filter(None, lines[i + 1 :]):
+                a, b = _joint(left, later)
+                joint = re.sub(r"\S+", "", later, count=1)
+                more |= {a + b, f"{a}-{b}", *words_of(f"{left}{later.partition(' ')[0]}"), *words_of(f"{left}-{later.partition(' ')[0]}")}
+                if END.search(later) and PUNCTUATION.search(later) and joint:
+                    break  # no frame line: the word goes on here at the latest
+    more |= {w.rstrip("|") for w in words if w.endswith("|")}
+    return words, more
+
+
+def damages(text: str, title: str | None, page: int | None, corpus: Corpus) -> tuple[set[str], list[str], list[list[list[Option]]]]:
+    """Kinds of damage of a page's plain text but for misreadings decoding decides, its
+    paragraphs, and the stretches to be decoded."""
+    lines = text.split("\n")
     kinds = frame_lines(lines, title, page, corpus)
     found = {k for k in kinds if k}
     body: list[str] = []
@@ -318,16 +350,12 @@ def damages(text: str, title: str | None, page: int | None, corpus: Corpus) -> t
                 paragraphs.append([])
             continue
         if carry:
-            first, _, rest = s.partition(" ")
-            m = re.match(r"^([^\s।॥.,;:?!؟۔)\]”’\"]+)(.*)$", first)
-            right = m[1] if m else first
-            left = re.sub(r"^[\"“‘'(\[]+", "", carry).lower()
-            own = own_hyphen(left, right.lower(), corpus)
+            own = own_hyphen(*_joint(carry, s), corpus)
             if not own:
                 found.add("hyphen")
             s = carry + ("-" if own else "") + s
             carry = ""
-        if s[-1] in HYPHENS and len(s) > 1 and (s[-2].isalpha() or ord(s[-2]) > 0x2FF) and s[-2] not in HYPHENS:
+        if _broken(s):
             at = s.rfind(" ") + 1
             carry, s = s[at:-1], s[:at].rstrip()
         if s:
@@ -336,16 +364,16 @@ def damages(text: str, title: str | None, page: int | None, corpus: Corpus) -> t
     if carry:
         paragraphs[-1].append(carry)
         body.append(carry)
-    out = []
+    out, doubtful = [], []
     for paragraph in paragraphs:
         joined = " ".join(paragraph)
-        fixed = misreadings(words_of(joined), corpus)
-        if fixed:
+        words = words_of(joined)
+        doubtful += stretches(words, corpus)
+        if any(unknown(w, corpus) and not corpus.repairs(w) and alien(w) for w in words):
             found.add("misread")
-            joined = "".join(_cased(p, fixed) for p in re.split(r"(\s+)", joined))
         if joined:
             out.append(joined)
-    return found, out
+    return found, out, doubtful
 
 
 def _cased(piece: str, fixed: dict[str, str]) -> str:
@@ -361,74 +389,169 @@ def _cased(piece: str, fixed: dict[str, str]) -> str:
     return piece
 
 
+def apply_fixes(text: str, fixed: dict[str, str]) -> str:
+    return "".join(_cased(p, fixed) for p in re.split(r"(\s+)", text))
+
+
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [Counter(), Counter(), Counter()]  # words, words of headings, pairs
+    """Rows (a, b, n, titled): words of running text and of headings have b null, pairs of words both."""
+    words, titles, pairs = Counter(), Counter(), Counter()
 
     def give() -> Iterator[pa.RecordBatch]:
-        rows: Counter = Counter()
-        for w, n in held[0].items():
-            a, b = _slots(w)
-            rows[WORD_A, a] += n
-            rows[WORD_B, b] += n
-        for w, n in held[1].items():
-            rows[TITLE, _slots(w)[0]] += n
-        for (a, b), n in held[2].items():
-            rows[PAIR, _pair(a, b)] += n
-        for c in held:
+        one = list(words.keys() | titles.keys())
+        a, b = one + [p[0] for p in pairs], [None] * len(one) + [p[1] for p in pairs]
+        n, t = [words[w] for w in one] + list(pairs.values()), [titles[w] for w in one] + [0] * len(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64()), pa.array(t, pa.int64())], names=["a", "b", "n", "titled"])
+        for c in (words, titles, pairs):
             c.clear()
-        t, k = zip(*rows, strict=True) if rows else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(k, pa.int32()), pa.array(list(rows.values()), pa.int64())], names=["table", "bucket", "n"])
 
-    for b in batches:
-        for text, heading in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = words_of(plain(text))
-            held[1 if heading else 0].update(words)
-            if not heading:
-                held[2].update(zip(words, words[1:], strict=False))
-        if sum(map(len, held)) > 600_000:
+    for batch in batches:
+        for text, heading in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = words_of(plain(text))
+            if heading:
+                titles.update(own)
+            else:
+                words.update(own)
+                pairs.update(zip(own, own[1:], strict=False))
+        if len(words) + len(titles) + len(pairs) > 600_000:
             yield from give()
     yield from give()
 
 
-def learn(typed: DataFrame, common: frozenset[str]) -> Corpus:
-    """The model of all of ``typed`` (text STRING, heading BOOLEAN). At most
-    2 * WORD_BUCKETS + WORD_BUCKETS + PAIR_BUCKETS sums reach the driver; sums of 1 stay behind."""
-    sums = typed.where("text is not null").select("text", "heading").mapInArrow(_count_rows, "table int, bucket int, n bigint").groupBy("table", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.where(f"n > 1 or table = {TITLE}").toArrow()
-    t, k, n = (got.column(c).to_numpy() for c in ("table", "bucket", "n"))
-    tables = []
-    for which, size in ((WORD_A, WORD_BUCKETS), (WORD_B, WORD_BUCKETS), (TITLE, WORD_BUCKETS), (PAIR, PAIR_BUCKETS)):
-        a = np.zeros(size, np.uint32 if which in (WORD_A, WORD_B) else np.uint16)
-        mine = t == which
-        a[k[mine]] = np.minimum(n[mine], np.iinfo(a.dtype).max)
-        tables.append(a)
-    return Corpus(*tables, float(tables[WORD_A].sum()) + 1.0, float(tables[TITLE].sum(dtype=np.float64)), common)
+def _asked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, word, n): a block's words, n times on its pages (0: asked only)."""
+    held: Counter = Counter()
+
+    def give() -> pa.RecordBatch:
+        block, word = zip(*held, strict=True) if held else ((), ())
+        got = pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(word, pa.string()), pa.array(list(held.values()), pa.int64())], names=["block", "word", "n"])
+        held.clear()
+        return got
+
+    for batch in batches:
+        for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words, more = asked_of(plain(text))
+            for w in words:
+                held[block, w] += 1
+            for w in more:
+                held[block, w] += 0
+        if len(held) > 300_000:
+            yield give()
+    yield give()
 
 
-def _page_rows(corpus: Corpus, repaired: bool):
+def _estimate(chances: dict[tuple[str, str], float], total: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, titles, pages = (b.column(i).to_pylist() for i in (1, 2, 3))
-            row, out = [], []
-            for i, (text, title, page) in enumerate(zip(texts, titles, pages, strict=True)):
-                found, paragraphs = damages(text, title, page, corpus)
-                got = ["\n\n".join(paragraphs)] if repaired else sorted(found)
-                row += [i] * len(got)
-                out += got
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(out, pa.string())], names=["key", "out"])
+        """Rows (seen, printed, n): expected misreadings among unknown words and what they may stand for."""
+        held: Counter = Counter()
+        for batch in batches:
+            for word, n, originals in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                got = [(x[0] + math.log(o["n"]), x[1]) for o in originals if (x := explain(word, o["w"], chances)) and sure(word, o["n"], total)]
+                whole = math.log(UNSEEN + sum(math.exp(p) for p, _ in got))
+                for p, what in got:
+                    for op in what:
+                        held[op] += n * math.exp(p - whole)
+        seen, printed = zip(*held, strict=True) if held else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(printed, pa.string()), pa.array(list(held.values()), pa.float64())], names=["seen", "printed", "n"])
 
     return run
 
 
-def page_damage(pages: DataFrame, corpus: Corpus) -> DataFrame:
-    """key, damage: each kind of damage of each page, once. pages: key BIGINT, text,
-    title STRING, page INT. Null texts have no row; a null title or page only
-    takes that evidence away; repeated rows count once."""
+def _chances(doubtful: DataFrame, met: DataFrame, total: float, rounds: int = 2) -> dict[tuple[str, str], float]:
+    """P(seen | printed) of each confusion. One row a confusion reaches the driver."""
+    letters = sorted({p for v in CONFUSIONS.values() for p in v.split()})
+    times = [F.sum(F.col("n") * (F.length("word") - F.length(F.replace("word", F.lit(c), F.lit(""))))).alias(str(i)) for i, c in enumerate(letters)]
+    printed = dict(zip(letters, met.agg(*times).first() or [0] * len(letters), strict=True))
+    chances: dict[tuple[str, str], float] = {}
+    for _ in range(rounds):
+        got = {(r["seen"], r["printed"]): r["n"] for r in doubtful.mapInArrow(_estimate(chances, total), "seen string, printed string, n double").groupBy("seen", "printed").agg(F.sum("n").alias("n")).collect()}
+        chances = {(s, p): (got.get((s, p), 0.0) + PRIOR[0]) / ((printed[p] or 0) + got.get((s, p), 0.0) + PRIOR[1]) for s, v in CONFUSIONS.items() for p in v.split()}
+    return chances
+
+
+OPTIONS = "array<array<struct<w:string,n:bigint,s:double>>>"
+_OPTIONS = pa.list_(pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64()), ("s", pa.float64())])))
+
+
+def _read_pages(pages: DataFrame, typed: DataFrame, common: frozenset[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(read, fixes): read has key, block, out (a kind of damage) or text (the paragraphs), fixes key, old, new."""
     rows = pages.where("text is not null").select("key", "text", "title", "page")
-    return rows.mapInArrow(_page_rows(corpus, False), "key bigint, out string").distinct().withColumnRenamed("out", "damage")
+    spark = rows.sparkSession
+    blocks = max(1, -(-rows.count() // block_rows))
+    tasks = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("bigint"))
+    counts = typed.where("text is not null").select("text", "heading").mapInArrow(_count_rows, "a string, b string, n bigint, titled bigint")
+    counts = cut(counts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("titled").alias("titled")))
+    words = counts.where("b is null").select(F.col("a").alias("word"), "n", "titled")
+    sums = words.agg(F.sum("n"), F.sum("titled")).first()
+    total, titled = float(sums[0] or 0) + 1.0, float(sums[1] or 0)
+
+    asked = cut(rows.select("block", "text").mapInArrow(_asked_rows, "block bigint, word string, n bigint").groupBy("block", "word").agg(F.sum("n").alias("n")))
+    met = asked.groupBy("word").agg(F.sum("n").alias("n"))
+    new = met.join(words.where("n >= 2"), "word", "left_anti").where(F.length("word") >= 2)
+    known = words.where("n >= 2").select(F.col("word").alias("w"), F.col("n").alias("k"), shape(F.col("word")).alias("shape"))
+    near = new.withColumn("shape", shape(F.col("word"))).join(known, "shape").groupBy("word").agg(F.max("n").alias("n"), F.collect_list(F.struct("w", F.col("k").alias("n"))).alias("originals"))
+    near = cut(near)
+    chances = _chances(near, met, total)
+    facts = asked.select("block", "word").join(words.join(near.select("word", "originals"), "word", "full_outer"), "word")
+
+    def read(here: pa.Table, have: pa.Table) -> pa.Table:
+        counted, headed, originals = {}, {}, {}
+        for w, n, t, cs in zip(*(have.column(c).to_pylist() for c in ("word", "n", "titled", "originals")), strict=True):
+            counted[w], headed[w] = n or 0, t or 0
+            if cs:
+                originals[w] = [(o["w"], o["n"], x[0]) for o in sorted(cs, key=lambda o: (-o["n"], o["w"])) if (x := explain(w, o["w"], chances))]
+        corpus = Corpus(counted, headed, originals, total, titled, common)
+        row, out, text, options = [], [], [], []
+        for i, (t, title, page) in enumerate(zip(*(here.column(c).to_pylist() for c in ("text", "title", "page")), strict=True)):
+            found, paragraphs, doubtful = damages(plain(t), title, page, corpus)
+            got = [(k, None, None) for k in sorted(found)] + [(None, "\n\n".join(paragraphs), None)]
+            got += [(None, None, [[dict(zip("wns", o, strict=True)) for o in os] for os in d]) for d in doubtful]
+            row += [i] * len(got)
+            for a, b, c in got:
+                out.append(a), text.append(b), options.append(c)
+        take = pa.array(row, pa.int64())
+        return pa.table({"key": here.column("key").take(take), "block": here.column("block").take(take), "out": pa.array(out, pa.string()), "text": pa.array(text, pa.string()), "options": pa.array(options, _OPTIONS)})
+
+    here, have = rows.repartition(tasks, "block"), facts.repartition(tasks, "block")
+    done = cut(here.groupBy("block").cogroup(have.groupBy("block")).applyInArrow(read, f"key bigint, block bigint, out string, text string, options {OPTIONS}"))
+
+    doubts = done.where("options is not null").select("key", "block", "options").dropDuplicates(["key", "options"])
+    # the pairs that a block's stretches ask for
+    links = F.flatten(F.transform(F.sequence(F.lit(0), F.size("options") - 2), lambda i: F.flatten(F.transform(F.get("options", i), lambda x: F.transform(F.get("options", i + 1), lambda y: F.struct(x["w"].alias("a"), y["w"].alias("b")))))))
+    asks = doubts.where(F.size("options") > 1).select(F.col("block").alias("of_block"), F.explode(links).alias("x")).select("of_block", "x.a", "x.b").distinct()
+    pairs = asks.join(counts.where("b is not null").select("a", "b", "n"), ["a", "b"])
+
+    def settle(these: pa.Table, have: pa.Table) -> pa.Table:
+        linked = {(a, b): n for a, b, n in zip(*(have.column(c).to_pylist() for c in ("a", "b", "n")), strict=True)}
+        row, old, new = [], [], []
+        for i, d in enumerate(these.column("options").to_pylist()):
+            for a, b in changed([[(o["w"], o["n"], o["s"]) for o in os] for os in d], linked, total).items():
+                row.append(i), old.append(a), new.append(b)
+        return pa.table({"key": these.column("key").take(pa.array(row, pa.int64())), "old": pa.array(old, pa.string()), "new": pa.array(new, pa.string())})
+
+    these, have = doubts.repartition(tasks, "block"), pairs.repartition(tasks, "of_block")
+    return done, these.groupBy("block").cogroup(have.groupBy("of_block")).applyInArrow(settle, "key bigint, old string, new string")
+
+
+def page_damage(pages: DataFrame, typed: DataFrame, common: frozenset[str], block_rows: int = 5000) -> DataFrame:
+    """key, damage: each kind of damage of each page, once. pages: key BIGINT, text,
+    title STRING, page INT; typed: text STRING, heading BOOLEAN. Null texts have no row;
+    a null title or page only takes that evidence away; repeated rows count once."""
+    done, fixes = _read_pages(pages, typed, common, block_rows)
+    misread = fixes.select("key", F.lit("misread").alias("damage"))
+    return done.where("out is not null").select("key", F.col("out").alias("damage")).unionByName(misread).distinct()
+
 
+def _fix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [apply_fixes(t, {x["old"]: x["new"] for x in f}) if f else t for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["key", "text"])
 
-def repaired_pages(pages: DataFrame, corpus: Corpus) -> DataFrame:
+
+def repaired_pages(pages: DataFrame, typed: DataFrame, common: frozenset[str], block_rows: int = 5000) -> DataFrame:
     """key, text: continuous paragraphs without the page's frame, words whole and rightly spelled."""
-    rows = pages.where("text is not null").select("key", "text", "title", "page")
-    return rows.mapInArrow(_page_rows(corpus, True), "key bigint, out string").withColumnRenamed("out", "text")
+    done, fixes = _read_pages(pages, typed, common, block_rows)
+    by = fixes.where("new <> ''").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("old", "new"))).alias("fixes"))
+    texts = done.where("text is not null").select("key", "text").join(by, "key", "left")
+    return texts.mapInArrow(_fix_rows, "key bigint, text string")

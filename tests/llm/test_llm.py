@@ -283,57 +283,76 @@ def test_labels(label, code):
     assert language.label_language(label) == code
 
 
-def corpus():
-    import pyarrow as pa
-
-    text = "वह पुस्तक पढ़ता है और जीवन में साधना करता है। माता-पिता का ध्यान रखता है और मन में शक्ति है।"
-    texts = [text] * 40 + ["the mind and the teacher was not a pupil in the village with a lamp"] * 40
-    batch = pa.RecordBatch.from_arrays([pa.array(texts + ["जीवन साधना"] * 30), pa.array([False] * 80 + [True] * 30)], names=["text", "heading"])
-    sizes = (scans.WORD_BUCKETS, scans.WORD_BUCKETS, scans.WORD_BUCKETS, scans.PAIR_BUCKETS)
-    tabs = [np.zeros(n, np.uint32) for n in sizes]
-    for r in scans._count_rows(iter([batch])):
-        for a, k, n in zip(*(c.to_pylist() for c in r.columns), strict=True):
-            tabs[a][k] += n
-    return scans.Corpus(*tabs, float(tabs[0].sum()) + 1, float(tabs[2].sum()), frozenset("और है में का the and".split()))
-
-
-@pytest.mark.parametrize(
-    "text, kinds",
-    [
-        ("वह पुस्तक पढ़ता\nहै।", set()),
-        ("वह पुस्-\nतक पढ़ता है।", {"hyphen"}),
-        ("वह माता-\nपिता का है।", set()),
-        ("वह जीबन में\nहै।", {"misread"}),
-        ("the rnind and the teacher", {"misread"}),
-        ("वह पुस्तक\n- १२ -\nपढ़ता है।", {"page_number"}),
-        ("वह पुस्तक पढ़ता है और\n12 | जीवन साधना\nमन में शक्ति है।", {"header"}),
-        ("जीवन साधना", set()),
-        ("", set()),
-    ],
-)
-def test_damage_of_scans(text, kinds):
-    assert scans.damages(text, "जीवन साधना", None, corpus())[0] == kinds
-
-
-def test_repaired_text():
-    _, out = scans.damages("वह पुस्-\n[ जीवन साधना ]\n१२\nतक पढ़ता है और जीबन\nमें शक्ति है।", "जीवन साधना", 12, corpus())
-    assert out == ["वह पुस्तक पढ़ता है और जीवन में शक्ति है।"]
-
-
-@pytest.mark.parametrize("times", [1, 10, 60])
-def test_misreadings_are_what_decode_changes_at_any_corpus_size(times):
-    import pyarrow as pa
-
-    texts = ["the lamp is on the hill"] * 4 + ["the mind and the teacher was not a pupil in the village"] * 60
-    texts *= times
-    tabs = [np.zeros(n, np.uint32) for n in (scans.WORD_BUCKETS, scans.WORD_BUCKETS, scans.WORD_BUCKETS, scans.PAIR_BUCKETS)]
-    for r in scans._count_rows(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([False] * len(texts))], names=["text", "heading"])])):
-        for a, k, n in zip(*(c.to_pylist() for c in r.columns), strict=True):
-            tabs[a][k] += n
-    known = scans.Corpus(*tabs, float(tabs[0].sum()) + 1, 0.0, frozenset(["the"]))
-    assert scans.damages("the lamp is on the bill", None, None, known) == ({"misread"}, ["the lamp is on the hill"])
-    rare = scans.Corpus(*tabs, 1e8 * times, 0.0, frozenset(["the"]))  # the same page and shares: never sure
-    assert scans.damages("the lamp is on the bill", None, None, rare) == (set(), ["the lamp is on the bill"])
+TYPED = ["वह पुस्तक पढ़ता है और जीवन में साधना करता है। माता-पिता का ध्यान रखता है और मन में शक्ति है।"] * 40 + ["the mind and the teacher was not a pupil in the village with a lamp"] * 40
+COMMON = frozenset("और है में का the and".split())
+PAGES = [
+    ("वह पुस्तक पढ़ता\nहै।", set()),
+    ("वह पुस्-\nतक पढ़ता है।", {"hyphen"}),
+    ("वह माता-\nपिता का है।", set()),
+    ("वह जीबन में\nहै।", {"misread"}),
+    ("the rnind and the teacher", {"misread"}),
+    ("the vi11age and the teacher", {"misread"}),
+    ("वह पुस्तक\n- १२ -\nपढ़ता है।", {"page_number"}),
+    ("वह पुस्तक पढ़ता है और\n12 | जीवन साधना\nमन में शक्ति है।", {"header"}),
+    ("वह पुस्-\n[ जीवन साधना ]\n१२\nतक पढ़ता है और जीबन\nमें शक्ति है।", {"hyphen", "header", "page_number", "misread"}),
+    ("जीवन साधना", set()),
+    ("", set()),
+    (None, set()),
+]
+
+
+def scanned(spark, pages, typed=TYPED, headings=("जीवन साधना",) * 30, title="जीवन साधना"):
+    p = spark.createDataFrame([(i, t, title, None) for i, t in enumerate(pages)] * 2, "key bigint, text string, title string, page int").withColumn("out", F.lit(1))
+    t = spark.createDataFrame([(x, False) for x in typed] + [(x, True) for x in headings] + [(None, False)], "text string, heading boolean")
+    return p, t
+
+
+def test_damage_of_scans(spark):
+    p, t = scanned(spark, [x for x, _ in PAGES])
+    for block_rows in (2, 5000):
+        got = scans.page_damage(p, t, COMMON, block_rows).collect()
+        assert len(got) == len({tuple(r) for r in got})
+        for i, (text, kinds) in enumerate(PAGES):
+            assert {r["damage"] for r in got if r["key"] == i} == kinds, text
+    assert scans.page_damage(p.limit(0), t, COMMON).count() == 0
+    assert {r["damage"] for r in scans.page_damage(p, t.limit(0), COMMON).collect()} <= {"hyphen", "page_number", "header", "misread"}
+
+
+def test_repaired_text(spark):
+    p, t = scanned(spark, [x for x, _ in PAGES])
+    got = {r["key"]: r["text"] for r in scans.repaired_pages(p, t, COMMON).collect()}
+    assert got[8] == "वह पुस्तक पढ़ता है और जीवन में शक्ति है।" and got[5] == "the village and the teacher" and 11 not in got
+
+
+def test_misreadings_are_what_decode_changes_at_any_corpus_size(spark):
+    typed = ["the lamp is on the hill"] * 4 + ["the mind and the teacher was not a pupil in the village"] * 60
+    for times in (1, 20):
+        got = scans.repaired_pages(*scanned(spark, ["the lamp is on the bill", "the"], typed * times, ()), frozenset(["the"])).collect()
+        assert {r["text"] for r in got} == {"the lamp is on the hill", "the"}
+
+
+def test_a_larger_vocabulary_hides_no_misreading(spark):
+    p, t = scanned(spark, ["वह जीबन में\nहै।"])
+    padding = spark.range(300_000).select(F.concat(F.lit("q"), F.conv("id", 10, 36), F.lit("x q"), F.conv("id", 10, 36), F.lit("x")).alias("text"), F.lit(False).alias("heading"))
+    typed = t.where("not heading").select(F.explode(F.array_repeat("text", 40)).alias("text"), "heading").unionByName(padding)
+    assert [r["damage"] for r in scans.page_damage(p, typed, COMMON).collect()] == ["misread"]
+
+
+def test_readings_are_explained_by_confusions():
+    assert scans.explain("rnarne", "mame", {})[1] == [("rn", "m")] and scans.explain("dirnnu", "dimnu", {})[1] == [("rn", "m")]
+    assert scans.explain("lamp", "lamp", {}) is None and scans.explain("1950", "l950", {}) is None and scans.explain("साघना", "साधना", {})[1] == [("घ", "ध")]
+
+
+def test_decoding_equals_enumeration():
+    import itertools
+    import math
+
+    rng = random.Random(3)
+    for _ in range(20):
+        options = [[(f"w{k}{i}", 5, rng.uniform(-9, -1)) for i in range(rng.randint(1, 3))] for k in range(4)]
+        pairs = {(a[0], b[0]): rng.randint(0, 9) for x, y in zip(options, options[1:], strict=False) for a in x for b in y}
+        score = lambda path: sum(o[2] for o in path) + sum(math.log1p(pairs[a[0], b[0]]) for a, b in zip(path, path[1:], strict=False))  # noqa: E731,B023
+        assert tuple(scans.decode(options, pairs)) == max(itertools.product(*options), key=score)
 
 
 FORMS = [
