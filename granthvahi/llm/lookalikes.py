@@ -47,15 +47,25 @@ _ODD = re.compile(f"[{INVISIBLE[1:-1]}{BLANKS[1:-1]}{WIDTHS[1:-1]}]")
 _INVISIBLE, _BLANKS, _WIDTHS, _COMPOSED = re.compile(INVISIBLE), re.compile(BLANKS), re.compile(WIDTHS), re.compile("|".join(COMPOSED))
 
 
+#: Their characters one by one, and the pairs by their first: a text is asked for its different characters only.
+_ODD_CHARS = frozenset(c for c in map(chr, range(0x110000)) if _ODD.match(c))
+_PAIRS = {a: tuple(p for p in COMPOSED if p[0] == a) for a in {p[0] for p in COMPOSED}}
+
+
 def normal_form(text: str) -> str:
     """Canonical composition with plain widths and blanks and nothing invisible."""
     t = text
-    if _ODD.search(t):
+    if t.isascii() and t.isprintable():
+        return t
+    chars = set(t)
+    if not chars.isdisjoint(_ODD_CHARS):
         t = _WIDTHS.sub(lambda m: unicodedata.normalize("NFKC", m[0]), t)
         t = _BLANKS.sub(" ", _INVISIBLE.sub("", t))
     t = unicodedata.normalize("NFC", t)
-    if any(pair in t for pair in COMPOSED):
-        t = unicodedata.normalize("NFC", _COMPOSED.sub(lambda m: COMPOSED[m[0]], t))
+    for first, pairs in _PAIRS.items():
+        if first in chars and any(p in t for p in pairs):
+            t = unicodedata.normalize("NFC", _COMPOSED.sub(lambda m: COMPOSED[m[0]], t))
+            break
     return text if t == text else t
 
 

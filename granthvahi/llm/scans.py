@@ -61,19 +61,24 @@ PUNCTUATION = re.compile(r"[।॥?!؟۔。！？;:,،、，；：\"“”‘’
 ITEM = re.compile(rf"^\s*(?:[-*•‣▪☐–·]|\(?[{DIGITS}]{{1,3}}[.)])\s+\S")
 HYPHENS = "-\u2010\u2011\xac\xad"
 CJK = re.compile("[぀-ヿ㐀-鿿]")
-SPLIT = re.compile(r"[\s।॥?؟۔,;:“”\"‘’'()\[\]…/،、，。！？；：「」—–=<>*~]+|\.+|(?<![A-Za-z])!+|!+(?![a-zÀ-ɏ])")
+BETWEEN = r"\s।॥?؟۔,;:“”\"‘’'()\[\]…/،、，。！？；：「」—–=<>*~"
+SPLIT = re.compile(rf"[{BETWEEN}]+|\.+|(?<![A-Za-z])!+|!+(?![a-zÀ-ɏ])")
+WORDS = re.compile(rf"[^{BETWEEN}.]+")  # the same for lines without exclamation marks
 END = re.compile(r"[।॥.?!؟۔。！？|…][\"”’)\]]*\s*$")
 _TWINS = str.maketrans(TO_LATIN)
 _TWIN = re.compile("[Ͱ-ϿЀ-ԯ]")
 
 
 def plain(text: str) -> str:
+    """Normal form, with the letters of other alphabets that look like Latin ones as Latin."""
     t = normal_form(text)
-    return t.translate(_TWINS) if _TWIN.search(t) else t
+    return t if t.isascii() or not _TWIN.search(t) else t.translate(_TWINS)
 
 
 def words_of(line: str) -> list[str]:
-    return [w.lower() for w in SPLIT.split(line) if w and not w.isdigit()]
+    if "!" in line:  # where the case of the next letter matters
+        return [w.lower() for w in SPLIT.split(line) if w and not w.isdigit()]
+    return [w for w in WORDS.findall(line.lower()) if not w.isdigit()]
 
 
 def _classes() -> dict[str, str]:
@@ -167,22 +172,21 @@ Option = tuple[str, int, float]  # a word that may stand here, its count, its sc
 def stretches(words: list[str], corpus: Corpus) -> list[list[list[Option]]]:
     """Runs of words of which each has several options, with the settled word before and behind:
     paths meet in a settled word, so what is decoded apart is decoded as the line would be."""
-    options: list[list[Option]] = []
-    for w in words:
+    doubtful = [k for k, w in enumerate(words) if w in corpus.originals and unknown(w, corpus)]
+
+    def options(k: int) -> list[Option]:
+        w = words[k]
         n = corpus.count(w)
         own = (w, n, math.log((n if n >= 2 else ODD_UNSEEN if ODD.search(w) else UNSEEN) / corpus.total))
-        rest = [(c, k, p + math.log(k / corpus.total)) for c, k, p in corpus.repairs(w)] if unknown(w, corpus) else []
-        options.append([own, *rest])
-    out, k = [], 0
-    while k < len(options):
-        if len(options[k]) == 1:
-            k += 1
-            continue
-        e = k
-        while e < len(options) and len(options[e]) > 1:
-            e += 1
-        out.append(options[max(0, k - 1) : e + 1])
-        k = e
+        return [own, *((c, m, p + math.log(m / corpus.total)) for c, m, p in corpus.repairs(w))] if k in within else [own]
+
+    within, out, at = set(doubtful), [], 0
+    while at < len(doubtful):
+        first = last = doubtful[at]
+        while at + 1 < len(doubtful) and doubtful[at + 1] == last + 1:
+            at, last = at + 1, last + 1
+        out.append([options(k) for k in range(max(0, first - 1), min(len(words), last + 2))])
+        at += 1
     return out
 
 
@@ -248,23 +252,25 @@ def frame_lines(lines: list[str], title: str | None, page: int | None, corpus: C
     if len(body) < 2:
         return kinds
     width = max(len(lines[i].strip()) for i in body)
-    items = sum(bool(ITEM.match(lines[i])) for i in body)
-    runs = sum(corpus.running(w) for i in body for w in words_of(lines[i]))
     name = re.sub(r"\s+", "", plain(title).lower()) if title else ""
-    han = sum(bool(CJK.search(lines[i])) for i in body) * 2 > len(body)
+    flow = functools.lru_cache(1)(lambda: sum(corpus.running(w) for i in body for w in words_of(lines[i])))  # asked for by few pages
+    items = functools.lru_cache(1)(lambda: sum(bool(ITEM.match(lines[i])) for i in body))
+    han = functools.lru_cache(1)(lambda: sum(bool(CJK.search(lines[i])) for i in body) * 2 > len(body))
     for i in body:
         s = lines[i].strip()
         core, sure, number = _core(s)
-        key = re.sub(r"\s+", "", core.lower())
         like = False
-        if name and 0.7 * len(name) <= len(key):
+        if name and 0.7 * len(name) <= len(core):
+            key = re.sub(r"\s+", "", core.lower())
             first = re.sub(r"\s+", "", re.split(r"\s[/~]\s", core)[0].lower())
             like = name in (key, first) or any(abs(len(k) - len(name)) <= 3 and difflib.SequenceMatcher(None, k, name, False).ratio() >= 0.8 for k in {key, first})
+        marks = PUNCTUATION.search(core)
+        if marks and not like or ITEM.match(s) and not like:
+            continue
         words = words_of(core)
-        if ITEM.match(s) and not like:
+        if len(words) > 10 and not like and not CJK.search(core):
             continue
         function = sum(corpus.running(w) for w in words)
-        marks = PUNCTUATION.search(core)
         if like and not (marks and END.search(s)) and function <= 1:
             kinds[i] = "header"
         elif marks or not words:
@@ -278,7 +284,7 @@ def frame_lines(lines: list[str], title: str | None, page: int | None, corpus: C
             continue
         elif sure or re.search(r"\S\s+/\s+\S", core) or number and len(words) <= 8 and (page is None or _ascii_number(number) == page or len(s) < 0.8 * width):
             kinds[i] = "header"
-        elif not number and 2 <= len(words) <= 8 and runs >= 3 and not han and items * 2 < len(body) and len(s) <= 0.85 * width and "-" != s[-1] and s[-1] not in "¬‐":
+        elif not number and 2 <= len(words) <= 8 and len(s) <= 0.85 * width and s[-1] not in "-¬‐" and items() * 2 < len(body) and not han() and flow() >= 3:
             k = body.index(i)
             before = lines[body[k - 1]] if k else ""
             if i != body[-1] or END.search(before):
@@ -314,12 +320,12 @@ def _joint(left: str, line: str) -> tuple[str, str]:
 def asked_of(text: str) -> tuple[list[str], set[str]]:
     """A page's words, and other words by whose counts it is decided: broken words joined
     with the start of every line that may follow when frame lines are left out."""
+    words = words_of(text)
+    more = {w.rstrip("|") for w in words if w[-1] == "|"}
     lines = [x.strip() for x in text.split("\n")]
-    words: list[str] = []
-    more: set[str] = set()
     for i, s in enumerate(lines):
-        words += words_of(s)
-        words += [w for w in words_of(_core(s)[0]) if s]
+        if "|" in s:
+            more.update(words_of(_core(s)[0]))
         if _broken(s):
             left = s[s.rfind(" ") + 1 : -1]
             for later in filter(None, lines[i + 1 :]):
@@ -328,7 +334,6 @@ def asked_of(text: str) -> tuple[list[str], set[str]]:
                 more |= {a + b, f"{a}-{b}", *words_of(f"{left}{later.partition(' ')[0]}"), *words_of(f"{left}-{later.partition(' ')[0]}")}
                 if END.search(later) and PUNCTUATION.search(later) and joint:
                     break  # no frame line: the word goes on here at the latest
-    more |= {w.rstrip("|") for w in words if w.endswith("|")}
     return words, more
 
 
@@ -369,7 +374,7 @@ def damages(text: str, title: str | None, page: int | None, corpus: Corpus) -> t
         joined = " ".join(paragraph)
         words = words_of(joined)
         doubtful += stretches(words, corpus)
-        if any(unknown(w, corpus) and not corpus.repairs(w) and alien(w) for w in words):
+        if ALIEN.search(joined.lower()) and any(unknown(w, corpus) and not corpus.repairs(w) and alien(w) for w in words):
             found.add("misread")
         if joined:
             out.append(joined)
@@ -420,24 +425,23 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _asked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, word, n): a block's words, n times on its pages (0: asked only)."""
-    held: Counter = Counter()
+    held: dict[int, Counter] = {}
 
-    def give() -> pa.RecordBatch:
-        block, word = zip(*held, strict=True) if held else ((), ())
-        got = pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(word, pa.string()), pa.array(list(held.values()), pa.int64())], names=["block", "word", "n"])
+    def give() -> Iterator[pa.RecordBatch]:
+        for block, words in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(words, pa.string()), pa.array(list(words.values()), pa.int64())], names=["block", "word", "n"])
         held.clear()
-        return got
 
     for batch in batches:
         for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words, more = asked_of(plain(text))
-            for w in words:
-                held[block, w] += 1
+            own = held.setdefault(block, Counter())
+            own.update(words)
             for w in more:
-                held[block, w] += 0
-        if len(held) > 300_000:
-            yield give()
-    yield give()
+                own[w] += 0
+        if sum(map(len, held.values())) > 300_000:
+            yield from give()
+    yield from give()
 
 
 def _estimate(chances: dict[tuple[str, str], float], total: float):
@@ -457,6 +461,23 @@ def _estimate(chances: dict[tuple[str, str], float], total: float):
     return run
 
 
+def _scored_rows(chances: dict[tuple[str, str], float]):
+    """Each unknown word with the originals that confusions explain, likeliest first."""
+    kind = pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64()), ("s", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word, out = [], []
+            for w, originals in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = [{"w": o["w"], "n": o["n"], "s": x[0]} for o in sorted(originals, key=lambda o: (-o["n"], o["w"])) if (x := explain(w, o["w"], chances))]
+                if got:
+                    word.append(w), out.append(got)
+            none = pa.nulls(len(word), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), none, none, pa.array(out, kind)], names=["word", "n", "titled", "originals"])
+
+    return run
+
+
 def _chances(doubtful: DataFrame, met: DataFrame, total: float, rounds: int = 2) -> dict[tuple[str, str], float]:
     """P(seen | printed) of each confusion. One row a confusion reaches the driver."""
     letters = sorted({p for v in CONFUSIONS.values() for p in v.split()})
@@ -481,7 +502,8 @@ def _read_pages(pages: DataFrame, typed: DataFrame, common: frozenset[str], bloc
     tasks = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("bigint"))
     counts = typed.where("text is not null").select("text", "heading").mapInArrow(_count_rows, "a string, b string, n bigint, titled bigint")
-    counts = cut(counts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("titled").alias("titled")))
+    # what stands once in all typed text says nothing: a word seen once is as unknown, a pair as likely
+    counts = cut(counts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("titled").alias("titled")).where("n > 1 or titled > 0"))
     words = counts.where("b is null").select(F.col("a").alias("word"), "n", "titled")
     sums = words.agg(F.sum("n"), F.sum("titled")).first()
     total, titled = float(sums[0] or 0) + 1.0, float(sums[1] or 0)
@@ -493,14 +515,18 @@ def _read_pages(pages: DataFrame, typed: DataFrame, common: frozenset[str], bloc
     near = new.withColumn("shape", shape(F.col("word"))).join(known, "shape").groupBy("word").agg(F.max("n").alias("n"), F.collect_list(F.struct("w", F.col("k").alias("n"))).alias("originals"))
     near = cut(near)
     chances = _chances(near, met, total)
-    facts = asked.select("block", "word").join(words.join(near.select("word", "originals"), "word", "full_outer"), "word")
+    scored = near.select("word", "originals").mapInArrow(_scored_rows(chances), "word string, n bigint, titled bigint, originals array<struct<w:string,n:bigint,s:double>>")
+    # a word has either counts of its own or originals; one seen once or in headings only may have both
+    either = words.withColumn("originals", F.lit(None).cast(scored.schema["originals"].dataType)).unionByName(scored)
+    facts = asked.select("block", "word").join(either, "word")
 
     def read(here: pa.Table, have: pa.Table) -> pa.Table:
         counted, headed, originals = {}, {}, {}
         for w, n, t, cs in zip(*(have.column(c).to_pylist() for c in ("word", "n", "titled", "originals")), strict=True):
-            counted[w], headed[w] = n or 0, t or 0
-            if cs:
-                originals[w] = [(o["w"], o["n"], x[0]) for o in sorted(cs, key=lambda o: (-o["n"], o["w"])) if (x := explain(w, o["w"], chances))]
+            if cs is None:
+                counted[w], headed[w] = n, t
+            else:
+                originals[w] = [(o["w"], o["n"], o["s"]) for o in cs]
         corpus = Corpus(counted, headed, originals, total, titled, common)
         row, out, text, options = [], [], [], []
         for i, (t, title, page) in enumerate(zip(*(here.column(c).to_pylist() for c in ("text", "title", "page")), strict=True)):
@@ -534,7 +560,7 @@ def _read_pages(pages: DataFrame, typed: DataFrame, common: frozenset[str], bloc
     return done, these.groupBy("block").cogroup(have.groupBy("of_block")).applyInArrow(settle, "key bigint, old string, new string")
 
 
-def page_damage(pages: DataFrame, typed: DataFrame, common: frozenset[str], block_rows: int = 5000) -> DataFrame:
+def page_damage(pages: DataFrame, typed: DataFrame, common: frozenset[str], block_rows: int = 8000) -> DataFrame:
     """key, damage: each kind of damage of each page, once. pages: key BIGINT, text,
     title STRING, page INT; typed: text STRING, heading BOOLEAN. Null texts have no row;
     a null title or page only takes that evidence away; repeated rows count once."""
@@ -549,7 +575,7 @@ def _fix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["key", "text"])
 
 
-def repaired_pages(pages: DataFrame, typed: DataFrame, common: frozenset[str], block_rows: int = 5000) -> DataFrame:
+def repaired_pages(pages: DataFrame, typed: DataFrame, common: frozenset[str], block_rows: int = 8000) -> DataFrame:
     """key, text: continuous paragraphs without the page's frame, words whole and rightly spelled."""
     done, fixes = _read_pages(pages, typed, common, block_rows)
     by = fixes.where("new <> ''").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("old", "new"))).alias("fixes"))

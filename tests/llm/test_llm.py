@@ -339,7 +339,7 @@ def test_a_larger_vocabulary_hides_no_misreading(spark):
 
 
 def test_readings_are_explained_by_confusions():
-    assert scans.explain("rnarne", "mame", {})[1] == [("rn", "m")] and scans.explain("dirnnu", "dimnu", {})[1] == [("rn", "m")]
+    assert scans.explain("rnarne", "mame", {})[1] == [("rn", "m")] * 2 and scans.explain("dirnnu", "dimnu", {})[1] == [("rn", "m")]
     assert scans.explain("lamp", "lamp", {}) is None and scans.explain("1950", "l950", {}) is None and scans.explain("साघना", "साधना", {})[1] == [("घ", "ध")]
 
 
