@@ -14,8 +14,8 @@ corpus knows the compound. Misread words are corrected by a noisy channel:
   channel's probabilities times the counts of words and of pairs of words.
 
 Counts come from all typed text and stay tables: pages are cut into blocks, and a
-block is joined with the counts of its own words and pairs only, so no task holds a
-model that grows with the corpus and no two words share a counter.
+block is joined with the counts of its own words and pairs only (pairs by 64-bit
+digests), so no task holds a model that grows with the corpus.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,11 +191,22 @@ def stretches(words: list[str], corpus: Corpus) -> list[list[list[Option]]]:
     return out
 
 
-def decode(options: list[list[Option]], pairs: dict[tuple[str, str], int]) -> list[Option]:
+def pair_key(a: str, b: str) -> int:
+    """A pair of words as a signed 64-bit digest."""
+    k = xxhash.xxh3_64_intdigest(f"{a}\x00{b}")
+    return k - (1 << 64) if k >> 63 else k
+
+
+def links(options: list[list[Option]]) -> list[int]:
+    """The pairs that decoding a stretch asks for."""
+    return list({pair_key(a[0], b[0]) for x, y in zip(options, options[1:], strict=False) for a in x for b in y})
+
+
+def decode(options: list[list[Option]], pairs: dict[int, int]) -> list[Option]:
     """The likeliest words of a stretch: Viterbi over the options of each place and counts of pairs."""
     best = [(o[2], [o]) for o in options[0]]
     for here in options[1:]:
-        best = [max(((score + math.log1p(pairs.get((path[-1][0], o[0]), 0)) + o[2], [*path, o]) for score, path in best), key=lambda x: x[0]) for o in here]
+        best = [max(((score + math.log1p(pairs.get(pair_key(path[-1][0], o[0]), 0)) + o[2], [*path, o]) for score, path in best), key=lambda x: x[0]) for o in here]
     return max(best, key=lambda x: x[0])[1]
 
 
@@ -211,7 +223,7 @@ def alien(word: str) -> bool:
     return sum(c.isalpha() or ord(c) > 0x2FF for c in word) >= 3 and ALIEN.search(word) is not None
 
 
-def changed(options: list[list[Option]], pairs: dict[tuple[str, str], int], total: float) -> dict[str, str]:
+def changed(options: list[list[Option]], pairs: dict[int, int], total: float) -> dict[str, str]:
     """The misread words of a stretch with what decoding puts for them, "" where that is not sure but the word is alien."""
     out: dict[str, str] = {}
     for here, (new, n, _) in zip(options, decode(options, pairs), strict=True):
@@ -399,14 +411,14 @@ def apply_fixes(text: str, fixed: dict[str, str]) -> str:
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, n, titled): words of running text and of headings have b null, pairs of words both."""
+    """Rows (word, pair, n, titled): words of running text and of headings, or pairs of words as digests."""
     words, titles, pairs = Counter(), Counter(), Counter()
 
     def give() -> Iterator[pa.RecordBatch]:
         one = list(words.keys() | titles.keys())
-        a, b = one + [p[0] for p in pairs], [None] * len(one) + [p[1] for p in pairs]
-        n, t = [words[w] for w in one] + list(pairs.values()), [titles[w] for w in one] + [0] * len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64()), pa.array(t, pa.int64())], names=["a", "b", "n", "titled"])
+        no, none = pa.nulls(len(one), pa.int64()), pa.nulls(len(pairs), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.string()), no, pa.array([words[w] for w in one], pa.int64()), pa.array([titles[w] for w in one], pa.int64())], names=COUNT_NAMES)
+        yield pa.RecordBatch.from_arrays([none, pa.array([pair_key(*p) for p in pairs], pa.int64()), pa.array(list(pairs.values()), pa.int64()), pa.nulls(len(pairs), pa.int64())], names=COUNT_NAMES)
         for c in (words, titles, pairs):
             c.clear()
 
@@ -423,6 +435,9 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from give()
 
 
+COUNT_NAMES = ["word", "pair", "n", "titled"]
+
+
 def _asked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, word, n): a block's words, n times on its pages (0: asked only)."""
     held: dict[int, Counter] = {}
@@ -501,10 +516,10 @@ def _read_pages(pages: DataFrame, typed: DataFrame, common: frozenset[str], bloc
     blocks = max(1, -(-rows.count() // block_rows))
     tasks = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("bigint"))
-    counts = typed.where("text is not null").select("text", "heading").mapInArrow(_count_rows, "a string, b string, n bigint, titled bigint")
+    counts = cut(typed.where("text is not null").select("text", "heading").mapInArrow(_count_rows, "word string, pair bigint, n bigint, titled bigint"))
     # what stands once in all typed text says nothing: a word seen once is as unknown, a pair as likely
-    counts = cut(counts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("titled").alias("titled")).where("n > 1 or titled > 0"))
-    words = counts.where("b is null").select(F.col("a").alias("word"), "n", "titled")
+    words = cut(counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("titled").alias("titled")).where("n > 1 or titled > 0"))
+    pairs = counts.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1")
     sums = words.agg(F.sum("n"), F.sum("titled")).first()
     total, titled = float(sums[0] or 0) + 1.0, float(sums[1] or 0)
 
@@ -528,35 +543,34 @@ def _read_pages(pages: DataFrame, typed: DataFrame, common: frozenset[str], bloc
             else:
                 originals[w] = [(o["w"], o["n"], o["s"]) for o in cs]
         corpus = Corpus(counted, headed, originals, total, titled, common)
-        row, out, text, options = [], [], [], []
+        row, out, text, options, asks = [], [], [], [], []
         for i, (t, title, page) in enumerate(zip(*(here.column(c).to_pylist() for c in ("text", "title", "page")), strict=True)):
             found, paragraphs, doubtful = damages(plain(t), title, page, corpus)
-            got = [(k, None, None) for k in sorted(found)] + [(None, "\n\n".join(paragraphs), None)]
-            got += [(None, None, [[dict(zip("wns", o, strict=True)) for o in os] for os in d]) for d in doubtful]
+            got = [(k, None, None, None) for k in sorted(found)] + [(None, "\n\n".join(paragraphs), None, None)]
+            got += [(None, None, [[dict(zip("wns", o, strict=True)) for o in os] for os in d], links(d)) for d in doubtful]
             row += [i] * len(got)
-            for a, b, c in got:
-                out.append(a), text.append(b), options.append(c)
+            for a, b, c, e in got:
+                out.append(a), text.append(b), options.append(c), asks.append(e)
         take = pa.array(row, pa.int64())
-        return pa.table({"key": here.column("key").take(take), "block": here.column("block").take(take), "out": pa.array(out, pa.string()), "text": pa.array(text, pa.string()), "options": pa.array(options, _OPTIONS)})
+        return pa.table({"key": here.column("key").take(take), "block": here.column("block").take(take), "out": pa.array(out, pa.string()), "text": pa.array(text, pa.string()), "options": pa.array(options, _OPTIONS), "links": pa.array(asks, pa.list_(pa.int64()))})
 
     here, have = rows.repartition(tasks, "block"), facts.repartition(tasks, "block")
-    done = cut(here.groupBy("block").cogroup(have.groupBy("block")).applyInArrow(read, f"key bigint, block bigint, out string, text string, options {OPTIONS}"))
+    done = cut(here.groupBy("block").cogroup(have.groupBy("block")).applyInArrow(read, f"key bigint, block bigint, out string, text string, options {OPTIONS}, links array<bigint>"))
 
-    doubts = done.where("options is not null").select("key", "block", "options").dropDuplicates(["key", "options"])
+    doubts = done.where("options is not null").select("key", "block", "options", "links").dropDuplicates(["key", "options"])
     # the pairs that a block's stretches ask for
-    links = F.flatten(F.transform(F.sequence(F.lit(0), F.size("options") - 2), lambda i: F.flatten(F.transform(F.get("options", i), lambda x: F.transform(F.get("options", i + 1), lambda y: F.struct(x["w"].alias("a"), y["w"].alias("b")))))))
-    asks = doubts.where(F.size("options") > 1).select(F.col("block").alias("of_block"), F.explode(links).alias("x")).select("of_block", "x.a", "x.b").distinct()
-    pairs = asks.join(counts.where("b is not null").select("a", "b", "n"), ["a", "b"])
+    asks = doubts.select(F.col("block").alias("of_block"), F.explode("links").alias("pair")).distinct()
+    met_pairs = asks.join(pairs, "pair")
 
     def settle(these: pa.Table, have: pa.Table) -> pa.Table:
-        linked = {(a, b): n for a, b, n in zip(*(have.column(c).to_pylist() for c in ("a", "b", "n")), strict=True)}
+        linked = dict(zip(have.column("pair").to_pylist(), have.column("n").to_pylist(), strict=True))
         row, old, new = [], [], []
         for i, d in enumerate(these.column("options").to_pylist()):
             for a, b in changed([[(o["w"], o["n"], o["s"]) for o in os] for os in d], linked, total).items():
                 row.append(i), old.append(a), new.append(b)
         return pa.table({"key": these.column("key").take(pa.array(row, pa.int64())), "old": pa.array(old, pa.string()), "new": pa.array(new, pa.string())})
 
-    these, have = doubts.repartition(tasks, "block"), pairs.repartition(tasks, "of_block")
+    these, have = doubts.repartition(tasks, "block"), met_pairs.repartition(tasks, "of_block")
     return done, these.groupBy("block").cogroup(have.groupBy("of_block")).applyInArrow(settle, "key bigint, old string, new string")
 
 

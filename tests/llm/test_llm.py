@@ -350,8 +350,8 @@ def test_decoding_equals_enumeration():
     rng = random.Random(3)
     for _ in range(20):
         options = [[(f"w{k}{i}", 5, rng.uniform(-9, -1)) for i in range(rng.randint(1, 3))] for k in range(4)]
-        pairs = {(a[0], b[0]): rng.randint(0, 9) for x, y in zip(options, options[1:], strict=False) for a in x for b in y}
-        score = lambda path: sum(o[2] for o in path) + sum(math.log1p(pairs[a[0], b[0]]) for a, b in zip(path, path[1:], strict=False))  # noqa: E731,B023
+        pairs = {scans.pair_key(a[0], b[0]): rng.randint(0, 9) for x, y in zip(options, options[1:], strict=False) for a in x for b in y}
+        score = lambda path: sum(o[2] for o in path) + sum(math.log1p(pairs[scans.pair_key(a[0], b[0])]) for a, b in zip(path, path[1:], strict=False))  # noqa: E731,B023
         assert tuple(scans.decode(options, pairs)) == max(itertools.product(*options), key=score)
 
 
