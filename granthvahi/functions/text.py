@@ -7,6 +7,7 @@ classes and look-arounds are spelt out.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -39,17 +40,14 @@ NUMBERED_ITEM = r"(?:^|\s)[०-९\d]{1,3}\s*[.)-]\s+"
 MARKUP = r"(?:^\s{0,3}#{1,6}\s*|\*\*?|__?|`+|\s*\|\s*)"
 UNCLEAR = "[अस्पष्ट]"
 # Abbreviations after which a full stop does not end a sentence.
-ABBREVIATIONS = "पं डॉ प्रो श्री श्रीमती कु ले इ उदा सं वि स्व चि dr mr mrs ms prof st e.g i.e vs etc".split()
+ABBREVIATIONS = ["पं", "डॉ", "प्रो", "श्री", "श्रीमती", "कु", "ले", "इ", "उदा", "सं", "वि", "स्व", "चि", "dr", "mr", "mrs", "ms", "prof", "st", "e.g", "i.e", "vs", "etc"]
 # The romanisation of Devanagari letters.
-ROMAN_VOWELS = dict(zip("अ आ इ ई उ ऊ ऋ ए ऐ ओ औ".split(), "a aa i ee u oo ri e ai o au".split(), strict=True))
-ROMAN_SIGNS = dict(zip("ा ि ी ु ू ृ े ै ो ौ".split(), "aa i ee u oo ri e ai o au".split(), strict=True))
-ROMAN_CONSONANTS = dict(
-    zip(
-        "क ख ग घ ङ च छ ज झ ञ ट ठ ड ढ ण त थ द ध न प फ ब भ म य र ल व श ष स ह".split(),
-        "k kh g gh n ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l v sh sh s h".split(),
-        strict=True,
-    )
-)
+ROMAN_VOWELS = {"अ": "a", "आ": "aa", "इ": "i", "ई": "ee", "उ": "u", "ऊ": "oo", "ऋ": "ri", "ए": "e", "ऐ": "ai", "ओ": "o", "औ": "au"}
+ROMAN_SIGNS = {"ा": "aa", "ि": "i", "ी": "ee", "ु": "u", "ू": "oo", "ृ": "ri", "े": "e", "ै": "ai", "ो": "o", "ौ": "au"}
+ROMAN_CONSONANTS = {
+    "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "n", "च": "ch", "छ": "chh", "ज": "j", "झ": "jh", "ञ": "n", "ट": "t", "ठ": "th", "ड": "d", "ढ": "dh", "ण": "n",
+    "त": "t", "थ": "th", "द": "d", "ध": "dh", "न": "n", "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r", "ल": "l", "व": "v", "श": "sh", "ष": "sh", "स": "s", "ह": "h",
+}
 ROMAN_MARKS = {"ं": "n", "ँ": "n", "ः": "h", "ॐ": "om", "ऽ": "", "्": ""}
 # Canonical forms of Devanagari letters with a dot below.
 DOT_BELOW = [
@@ -122,6 +120,29 @@ def drop_trailing_page_number(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s]+[\)\]]+\s*[\(\[]+\s*[०-९\d]+\s*$", ""))
 
 
+def title_pattern(title: Column) -> Column:
+    """A pattern for the title as pages repeat it: blanks, anusvara and vowel marks may differ. Null for a blank title."""
+    escaped = F.regexp_replace(F.trim(title), r"([.^$*+?()\[\]{}|\\-])", r"\\$1")
+    return F.nullif(F.regexp_replace(escaped, r"[\sंँेै]+", r"[\\sंँेै]*"), F.lit(""))
+
+
+# What may stand around a running header.
+AROUND_HEADER = r"[\s)\]\[(—\-–|।॥०-९\d]"
+
+
+def is_running_header(text: Column, title: Column) -> Column:
+    """A page number, or nothing but the book's title, marks and digits."""
+    named = F.concat(F.lit(f"(?i)^{AROUND_HEADER}*(?:"), title_pattern(title), F.lit(f"{AROUND_HEADER}*)+$"))
+    return F.trim(text).rlike(PAGE_NUMBER) | F.coalesce(F.rlike(F.trim(text), named), F.lit(False))
+
+
+def drop_trailing_header(text: Column, title: Column) -> Column:
+    """The text without the title and page number that leaked in at its end; never empty."""
+    ending = F.concat(F.lit(r"(?i)[\s,।॥—\-–]*(?:"), title_pattern(title), F.lit(f"){AROUND_HEADER}*$"))
+    kept = F.trim(F.regexp_replace(text, ending, F.lit("")))
+    return F.when(title_pattern(title).isNull() | (kept == ""), text).otherwise(kept)
+
+
 def is_front_matter(text: Column) -> Column:
     """Labels, author lines, publishing notes below 200 characters, page numbers, nothing at all."""
     return let(F.trim(text), lambda t: (t == "") | t.rlike(HEADER_LABEL) | t.rlike(AUTHOR_LINE) | (t.rlike(PUBLISHING) & (F.length(t) < 200)) | t.rlike(PAGE_NUMBER))
@@ -252,13 +273,18 @@ def same_letters(source: Column, markup: Column) -> Column:
     return keep(source) == keep(bare)
 
 
+#: Latin letters with the plain letter that their decomposition begins with.
+FOLDED = {chr(c): d[0] for c in range(0xC0, 0x250) if (d := unicodedata.normalize("NFKD", chr(c))) != chr(c) and d[0].isascii() and d[0].isalpha()}
+
+
 def file_stem(text: Column) -> Column:
     return F.regexp_replace(text, r"[^A-Za-z0-9_]", "")
 
 
 def slug(text: Column, size: int = 48) -> Column:
-    """Lower-case letters and digits joined by dashes (accents must be folded before)."""
-    t = F.regexp_replace(F.lower(F.regexp_replace(text, r"[^\x00-\x7f]", "")), r"[^a-z0-9]+", "-")
+    """Lower-case letters and digits joined by dashes; accents are folded, other letters dropped."""
+    folded = F.translate(text, "".join(FOLDED), "".join(FOLDED.values()))
+    t = F.regexp_replace(F.lower(F.regexp_replace(folded, r"[^\x00-\x7f]", "")), r"[^a-z0-9]+", "-")
     return F.regexp_replace(F.substring(F.regexp_replace(t, r"^-+|-+$", ""), 1, size), r"-+$", "")
 
 

@@ -94,3 +94,26 @@ def risk_sample(rows: DataFrame, id_: str, risky: Column, percent: float, most:
     target = min(most, max(r, int(-(-(n * percent / 100 - 0.5) // 1)) if n else 0))
     order = [risky.cast("int").desc(), F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string")), 256), F.col(id_)]
     return rows.withColumn("risky", risky).orderBy(*order).limit(target)
+
+
+def count_faults(a: DataFrame, b: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """key and both counts of the groups that don't have as many rows in one stage as in the other."""
+    one, other = (df.groupBy(key).agg(F.count("*").alias(n)) for df, n in zip((a, b), names, strict=True))
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0).cast("bigint")).alias(n)
+    return one.join(other, key, "full_outer").select(key, *map(zero, names)).where(F.col(names[0]) != F.col(names[1]))
+
+
+def audio_findings(chunks: DataFrame, keys: list[str], clipped: str | None = None, silence: str | None = None) -> DataFrame:
+    """keys, code, severity of spoken chunks (source_text, seconds, and shares of clipped samples and
+    of silence where there are columns for them). What is incomplete or invalid is not looked at further."""
+    words = word_count(F.col("source_text"))
+    incomplete = F.col("seconds").isNull() | F.col("source_text").isNull()
+    valid = ~incomplete & (F.col("seconds") > 0)
+    found = [("audio_incomplete", incomplete), ("audio_invalid", ~incomplete & (F.col("seconds") <= 0))]
+    if clipped:
+        found.append(("clipping", valid & (F.col(clipped) > 0.001)))
+    if silence:
+        found.append(("excessive_silence", valid & (words >= 8) & (F.col(silence) > 0.65)))
+    found.append(("pace_outlier", valid & pace_fault(words, words_per_minute(F.col("source_text"), F.col("seconds")))))
+    warning = F.col("code").isin("excessive_silence", "pace_outlier")
+    return chunks.select(*keys, F.explode(_found(found)).alias("code")).withColumn("severity", F.when(warning, "warning").otherwise("blocker"))

@@ -37,11 +37,6 @@ def _prefixed(rules: DataFrame) -> DataFrame:
     return rules.withColumn("_needle", needle()).select(*[F.col(c).alias(c if c == "_needle" else f"r_{c}") for c in [*rules.columns, "_needle"]])
 
 
-def _matches(text: Column) -> Column:
-    same = lambda c: F.col(f"r_{c}").isNull() | (F.col(f"r_{c}") == F.col(c))
-    return F.coalesce(same("page") & same("paragraph") & same("segment_type"), F.lit(False)) & (F.col("_needle").isNull() | text.contains(F.col("_needle")))
-
-
 def _with_rules(segments: DataFrame, rules: DataFrame, max_rules: int) -> DataFrame:
     """Each segment with the rules as one array: the rules are a hand-written table, its
     size is checked before it goes to every task."""
@@ -80,6 +75,34 @@ def correct_source(segments: DataFrame, rules: DataFrame, max_rules: int = 10_00
     return done.withColumn("source_text", F.col("_done.text")).withColumn("audit", F.col("_done.audit")).drop("_done")
 
 
+def correct_speech(segments: DataFrame, rules: DataFrame, spoken: str, max_rules: int = 10_000) -> DataFrame:
+    """Segments with the approved phonetics rules applied to ``spoken`` in order of rule_id, where the
+    source has what a rule looks for: its replacement (or the spoken form given) is put in, noted in
+    ``audit`` whether or not it changed anything, and the rule's pause, if any, takes the segment's place."""
+    acting = rules_for(rules, "phonetics")
+    entry = "array<struct<stage:string,kind:string,source:string,replacement:string,reason:string>>"
+
+    def apply(a: Column, r: Column) -> Column:
+        new = F.coalesce(F.nullif(r["r_replace"], F.lit("")), r["r_tts_override"], r["r_replace"])
+        acts = _rule_matches(r, F.col("source_text"))
+        puts = acts & r["_needle"].isNotNull() & new.isNotNull()
+        note = F.struct(F.lit("phonetics").alias("stage"), F.coalesce(r["r_kind"], F.lit("pronunciation")).alias("kind"), r["_needle"].alias("source"), new.alias("replacement"), F.coalesce(r["r_reason"], F.lit("Approved project correction")).alias("reason"))
+        return F.struct(
+            F.when(puts, F.replace(a["text"], r["_needle"], new)).otherwise(a["text"]).alias("text"),
+            F.when(puts, F.array_append(a["audit"], note)).otherwise(a["audit"]).alias("audit"),
+            F.when(acts, F.coalesce(r["r_pause_after_ms"], a["pause"])).otherwise(a["pause"]).alias("pause"),
+        )
+
+    zero = F.struct(F.col(spoken).alias("text"), F.array().cast(entry).alias("audit"), F.col("pause_after_ms").cast("int").alias("pause"))
+    done = _with_rules(segments, acting, max_rules).withColumn("_done", F.aggregate("_rules", zero, apply)).drop("_rules")
+    return done.withColumn(spoken, F.col("_done.text")).withColumn("audit", F.col("_done.audit")).withColumn("pause_after_ms", F.col("_done.pause")).drop("_done")
+
+
+def unapproved(rules: DataFrame) -> DataFrame:
+    """rule_id, requested, reason of proposed segment changes that nobody has approved."""
+    return rules.where((F.col("stage") == "segment") & ~F.coalesce(approved(), F.lit(False))).select("rule_id", needle().alias("requested"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 def unmet_pronunciations(segments: DataFrame, rules: DataFrame, spoken: str, max_rules: int = 10_000) -> DataFrame:
     """Segments whose source holds what an approved phonetics rule looks for but whose spoken text lacks its replacement."""
     acting = rules_for(rules, "phonetics").where(needle().isNotNull() & F.col("replace").isNotNull())

@@ -16,8 +16,9 @@ HEADINGS = ("heading", "subheading")
 
 def parse_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, seq, tag, text: one row per block in order; text outside tags is prose, cut at
-    blank lines. Null and blank documents have no row; the tag is in lower case."""
-    marked = F.regexp_replace(F.col(text), r"(?s)<([a-zA-Z0-9_]+)>(.*?)</\1>", "\u0001$1\u0002$2\u0001")
+    blank lines. Null and blank documents have no row; the tag is in lower case. The two
+    control characters that part blocks here are dropped from the text first."""
+    marked = F.regexp_replace(F.translate(F.col(text), "\u0001\u0002", ""), r"(?s)<([a-zA-Z0-9_]+)>(.*?)</\1>", "\u0001$1\u0002$2\u0001")
     parts = F.transform(
         F.split(marked, "\u0001"),
         lambda p: F.when(
@@ -29,6 +30,25 @@ def parse_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(text).rlike(r"\S")).select(F.col(key), F.posexplode(kept).alias("seq", "b")).select(key, F.col("seq").cast("bigint"), "b.tag", F.regexp_replace("b.text", r"^\s+|\s+$", "").alias("text"))
 
 
+def with_titles(blocks: DataFrame, key: str, titles: DataFrame | None = None) -> DataFrame:
+    """Blocks with ``title``: the given one (key, title), else the document's first heading.
+    An aggregate and a join on the key, so no document has to fit into a task."""
+    first = blocks.where("tag = 'heading'").groupBy(key).agg(F.min_by("text", "seq").alias("_h"))
+    given = first.select(key, F.col("_h").alias("title"))
+    if titles is not None:
+        given = first.join(titles.groupBy(key).agg(F.max("title").alias("_t")), key, "full_outer").select(key, F.coalesce(F.nullif(F.trim("_t"), F.lit("")), "_h").alias("title"))
+    return blocks.join(given, key, "left")
+
+
+def drop_running_headers(blocks: DataFrame, key: str, titles: DataFrame | None = None) -> DataFrame:
+    """Blocks without those that are nothing but the document's title or a page number, and
+    without the title leaked in at a block's end. A heading that is the title stays."""
+    rows = with_titles(blocks, key, titles)
+    page, heading = F.col("tag") == "metadata_page", F.col("tag") == "heading"
+    rows = rows.where(page | heading | ~F.coalesce(T.is_running_header(F.col("text"), F.col("title")), F.lit(False)))
+    return rows.withColumn("text", F.when(page | heading, F.col("text")).otherwise(T.drop_trailing_header(F.col("text"), F.col("title")))).drop("title")
+
+
 def drop_front_matter(blocks: DataFrame, key: str) -> DataFrame:
     """Blocks without labels of front matter and the values that follow them.
 
@@ -60,8 +80,8 @@ def drop_repeated_headings(blocks: DataFrame, key: str) -> DataFrame:
     return rows.where(~F.coalesce(F.col("_same") == F.col("_same_before"), F.lit(False))).drop("_n", "_same", "_same_before")
 
 
-def drop_repeated_lines(blocks: DataFrame, key: str, often: int = 3, longest: int = 180) -> DataFrame:
-    """Blocks without artifact lines and without artifact lines repeated ``often`` in a document."""
+def drop_artifact_lines(blocks: DataFrame) -> DataFrame:
+    """Blocks without artifact lines, repeated or not."""
     lines = F.filter(F.split("text", r"\r?\n"), lambda x: ~T.is_artifact_line(x))
     page = F.col("tag") == "metadata_page"
     return blocks.withColumn("text", F.when(page, F.col("text")).otherwise(F.array_join(F.transform(lines, lambda x: F.trim(x)), "\n"))).where("text <> ''")
@@ -90,14 +110,15 @@ def stitch(blocks: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.col("_p")[0]["seq"].alias("seq"), F.col("_p")[0]["tag"].alias("tag"), join_parts(F.col("_p.text")).alias("text"))
 
 
-def clean_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The whole cleaning of tagged text: key, seq, tag, text of the blocks that are read aloud."""
+def clean_documents(docs: DataFrame, key: str, text: str, titles: DataFrame | None = None) -> DataFrame:
+    """The whole cleaning of tagged text: key, seq, tag, text of the blocks that are read aloud.
+    titles (key, title) names the running headers; without it first headings do."""
     prepared = T.pipes_to_dandas(T.repair_tags(T.drop_page_breaks(F.col(text))))
     blocks = parse_blocks(docs.select(F.col(key), prepared.alias("_text")), key, "_text")
     # ordered steps read their input more than once: what is costly is written down between them
     blocks = cut(drop_artifacts(blocks))
-    blocks = cut(drop_front_matter(blocks, key))
-    blocks = cut(drop_repeated_lines(drop_repeated_headings(blocks, key), key))
+    blocks = cut(drop_running_headers(drop_front_matter(blocks, key), key, titles))
+    blocks = cut(drop_artifact_lines(drop_repeated_headings(blocks, key)))
     return stitch(blocks, key)
 
 

@@ -32,12 +32,12 @@ def skeleton(text: str) -> str:
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("ascii"), np.uint8)
+    return np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
 def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     width = max(map(len, texts), default=0) or 1
-    flat = np.frombuffer("".join([t.ljust(width, "\0") for t in texts]).encode("ascii"), np.uint8)
+    flat = _codes("".join([t.ljust(width, "\0") for t in texts]))
     return flat.reshape(len(texts), width), np.array([len(t) for t in texts], np.int64)
 
 

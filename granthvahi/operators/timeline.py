@@ -64,3 +64,14 @@ def printed_pages(pages: DataFrame, page: str, rules: list[tuple[int, int, int |
     for number, text in (overrides or {}).items():
         label = F.when(F.col(page) == number, F.lit(text)).otherwise(label)
     return pages.withColumn("printed_page", label)
+
+
+def order_faults(segments: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """key, n_apart: groups with chunks in which the n-th chunk is not the n-th segment, and at how many
+    places. segments: key, n, id; chunks: key, n, chunk_id, numbered in order. An equi join on the
+    place instead of two whole lists; groups without chunks are no faults."""
+    s = segments.select(F.col(key), "n", F.col("id").alias("_id"))
+    c = chunks.select(F.col(key), "n", F.col("chunk_id").alias("_chunk"), F.lit(True).alias("_has"))
+    both = s.join(c, [key, "n"], "full_outer")
+    apart = (~F.col("_id").eqNullSafe(F.col("_chunk"))).cast("bigint")
+    return both.groupBy(key).agg(F.sum(apart).alias("n_apart"), F.count("_has").alias("_n")).where("_n > 0 and n_apart > 0").drop("_n")

@@ -77,3 +77,15 @@ def with_columns_of(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 def union_versions(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def latest_applicable(events: DataFrame, now: DataFrame, keys: list[str], state: str, status: str, order: list[str]) -> DataFrame:
+    """keys, status, n: the last event made on the state its group is in now, and how many there are."""
+    same = events.join(now.select(*keys, state), [*keys, state])
+    return same.groupBy(*keys).agg(F.max_by(status, F.struct(*order)).alias("status"), F.count("*").alias("n"))
+
+
+def up_to_date(items: DataFrame, made: DataFrame, keys: list[str], mark: str = "fingerprint") -> DataFrame:
+    """``items`` with up_to_date: what was made of it is complete and of the same fingerprint."""
+    m = made.select(*keys, F.col(mark).alias("_m"), F.col("complete").alias("_c"))
+    return items.join(m, keys, "left").withColumn("up_to_date", F.coalesce(F.col("_c") & (F.col("_m") == F.col(mark)), F.lit(False))).drop("_m", "_c")

@@ -1,6 +1,6 @@
 """Queries over the tables, by name."""
 
-from . import documents, tables  # noqa: F401
+from . import documents, editorial, tables  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

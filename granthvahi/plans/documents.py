@@ -314,7 +314,7 @@ def manuscript_render(spark: SparkSession, d: str) -> DataFrame:
     return manuscript.render_manuscripts(passages(spark, d), "doc_id", "id").select("doc_id", F.md5("text").alias("manuscript"))
 
 
-@query()
+@query(f"""SELECT doc_id, id, coalesce(page, '?') AS page, CAST(pause AS INTEGER) AS pause, CAST(take AS INTEGER) AS take, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text, CAST(NULL AS VARCHAR) AS fault FROM {PASSAGES_SQL}""")
 def manuscript_parse(spark: SparkSession, d: str) -> DataFrame:
     """Every book rendered and read again: the rows come back as they were."""
     books = manuscript.render_manuscripts(passages(spark, d), "doc_id", "id")

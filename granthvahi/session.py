@@ -32,15 +32,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster
-    names one. Only where it is unset (tests, one machine) a temporary folder is
-    made and set as the checkpoint folder."""
+    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names
+    one. Only where it is unset and everything runs on one machine (tests) a temporary
+    folder is made and set as the checkpoint folder; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jsc = spark.sparkContext._jsc.sc()
         got = jsc.getCheckpointDir()
         at = got.get() if got.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="granthvahi-")
         spark.sparkContext.setCheckpointDir(at)
     return at

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from granthvahi.operators import checks, corrections, matching, timeline, versions
+from granthvahi.operators import checks, corrections, matching, phrases, timeline, versions
 from granthvahi.sources import artifacts, manuscript
 from granthvahi.streaming import notes
 
@@ -70,7 +70,7 @@ def test_transcripts(spark):
 def test_phrase_is_found_in_its_book(spark):
     n = spark.createDataFrame([(1, "n", "gali gali"), (1, "m", "")], "k int, note_id string, note string")
     p = spark.createDataFrame([(1, "a", "वह गली-गली घूमा। फिर सोया।"), (2, "b", "गली-गली"), (1, "c", None)], "k int, passage_id string, text string")
-    got = matching.phrase_matches(n, p, ["k"]).collect()
+    got = phrases.phrase_matches(n, p, ["k"]).collect()
     assert got[0]["passage_id"] == "a" and got[0]["sentence_no"] == 0 and got[0]["score"] >= 0.72 and {r["note_id"] for r in got} == {"n"}
 
 
