@@ -369,13 +369,14 @@ def spoken_punctuation(spark: SparkSession, d: str) -> DataFrame:
     return passages(spark, d).select("doc_id", "id", F.md5(T.comma_before_conjunctions(F.col("text"))).alias("spoken"))
 
 
-@query("""WITH v(path) AS (VALUES ('C:\\books\\a.pdf'), ('/mnt/x'), ('d:/y/z')) SELECT path, CASE WHEN regexp_matches(path, '^[A-Za-z]:[\\\\/]') THEN '/mnt/' || lower(path[1]) || '/' || replace(path[4:], '\\', '/') ELSE path END AS local FROM v""")
+@query("""WITH v AS (SELECT DISTINCT unnest(['C:\\books\\' || name, '/mnt/' || name, 'd:/' || name || '/x']) AS path FROM projects) SELECT path, CASE WHEN regexp_matches(path, '^[A-Za-z]:[\\\\/]') THEN '/mnt/' || lower(path[1]) || '/' || replace(path[4:], '\\', '/') ELSE path END AS local FROM v""")
 def local_paths(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("C:\\books\\a.pdf",), ("/mnt/x",), ("d:/y/z",)], "path string")
+    names = [F.concat(F.lit("C:\\books\\"), "name"), F.concat(F.lit("/mnt/"), "name"), F.concat(F.lit("d:/"), "name", F.lit("/x"))]
+    rows = load(spark, d, "projects").select(F.explode(F.array(*names)).alias("path")).distinct()
     return rows.select("path", T.windows_path(F.col("path")).alias("local"))
 
 
-@query(f"""SELECT doc_id, id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped, true AS kept FROM {PASSAGES_SQL}""")
+@query(f"""SELECT doc_id, id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped, regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g') = regexp_replace(replace(replace(replace(replace(regexp_replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS kept FROM {PASSAGES_SQL}""")
 def escaped_passages(spark: SparkSession, d: str) -> DataFrame:
     """Passages as they are put into markup, and whether that keeps every letter."""
     e: Column = T.escape_markup(F.col("text"))

@@ -120,9 +120,11 @@ def timestamp_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT q, coalesce(nullif(regexp_extract(q, '(?i)^page\\s+([0-9]+|[ivxlcdm]+)$', 1), ''), nullif(regexp_extract(q, '(?i)^p[.:]?\\s*([0-9]+|[ivxlcdm]+)$', 1), '')) AS page
-    FROM (VALUES ('p35'), ('pIV'), ('page 12'), ('p:7'), ('g00-0000399'), ('passage'), ('Page xii'), ('p')) t(q)""")
+    FROM (SELECT DISTINCT unnest(['p' || page, 'Page ' || page, 'p. ' || page, page, id]) AS q FROM passages WHERE page IS NOT NULL)""")
 def page_queries(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(q,) for q in ("p35", "pIV", "page 12", "p:7", "g00-0000399", "passage", "Page xii", "p")], "q string")
+    """What every page label and id asks for when it is typed into a search."""
+    p = load(spark, d, "passages").where("page is not null")
+    rows = p.select(F.explode(F.array(F.concat(F.lit("p"), "page"), F.concat(F.lit("Page "), "page"), F.concat(F.lit("p. "), "page"), F.col("page"), F.col("id"))).alias("q")).distinct()
     return rows.select("q", page_query(F.col("q")).alias("page"))
 
 
@@ -240,11 +242,12 @@ def pace_outliers(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("outlier", checks.pace_fault(F.col("words"), F.col("wpm")))
 
 
-@query("""SELECT doc_id, round(median(s), 3) AS median_seconds, count(*) AS n FROM (SELECT DISTINCT doc_id, chunk_id, end_seconds - start_seconds AS s FROM offsets WHERE end_seconds > start_seconds) GROUP BY doc_id""")
+@query("""SELECT doc_id, round(median(s), 4) AS median_seconds, count(*) AS n FROM (SELECT DISTINCT doc_id, chunk_id, round(end_seconds - start_seconds, 3) AS s FROM offsets WHERE end_seconds > start_seconds) GROUP BY doc_id""")
 def book_pace(spark: SparkSession, d: str) -> DataFrame:
-    """The exact median: a histogram of values is merged, not a sorted list of rows."""
-    rows = load(spark, d, "offsets").where("end_seconds > start_seconds").select("doc_id", "chunk_id", (F.col("end_seconds") - F.col("start_seconds")).alias("s")).distinct()
-    return rows.groupBy("doc_id").agg(F.round(F.median("s"), 3).alias("median_seconds"), F.count("*").alias("n"))
+    """The exact median of whole milliseconds: their histogram is merged, which has as many
+    entries as there are different lengths, and no list of a book's rows."""
+    rows = load(spark, d, "offsets").where("end_seconds > start_seconds").select("doc_id", "chunk_id", F.round(F.col("end_seconds") - F.col("start_seconds"), 3).alias("s")).distinct()
+    return rows.groupBy("doc_id").agg(F.round(F.median("s"), 4).alias("median_seconds"), F.count("*").alias("n"))
 
 
 @query(f"""WITH f AS (SELECT doc_id, CAST(sum(CASE WHEN fault = 'missing' THEN 1 ELSE 0 END) AS BIGINT) AS warnings, CAST(sum(CASE WHEN fault <> 'missing' THEN 1 ELSE 0 END) AS BIGINT) AS blockers FROM

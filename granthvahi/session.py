@@ -50,8 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by one pass into the shared folder, so that
-    several readers do not compute it again and a lost executor costs nothing."""
+    several readers do not compute it again and a lost executor costs nothing. The
+    table is deleted when the session's process ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
