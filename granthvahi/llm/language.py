@@ -244,7 +244,8 @@ def _tell_apart(counts: dict[str, Counter], keep: int) -> list[dict[str, float]]
 
 
 def fit(sample: list[tuple[str, str]], rounds: int = 2, keep: int = 350, dimensions: int = 16384) -> Profiles:
-    """Profiles from (language, text) pairs whose languages are partly wrong."""
+    """Profiles from (language, text) pairs whose languages are partly wrong. ``keep`` bounds
+    a prototype: it bundles so many n-grams, those that tell most."""
     rows: list[tuple[str, list[str]]] = []
     for lang, text in sample:
         text = clean(text).lower()
@@ -345,7 +346,8 @@ def judge(profiles: Profiles, texts: list[str], known: frozenset[str]) -> list[l
 def _sample_text(labelled: DataFrame, sample_rows: int) -> list[tuple[str, str]]:
     """About ``sample_rows`` labelled rows, those whose hash lies below a threshold: the
     same rows at every layout of the data, and no more of them when it grows. The
-    driver gets these rows and no others."""
+    driver gets these rows and no others. Texts below 20 and above 20,000 characters are
+    not sampled; they are judged like all others."""
     rows = labelled.where("lang is not null and key is not null")
     share = min(1.0, sample_rows / max(1, rows.count()))
     unit = F.shiftrightunsigned(F.xxhash64("kind", "key"), 11).cast("double") / F.lit(float(1 << 53))

@@ -4,8 +4,7 @@
    invisible, one composition of each written sign.
 2. Script-aware repair: a token that mixes scripts (or whose letters are all
    look-alikes foreign to its record) is rewritten in its dominant script, and
-   takes the new form only if the corpus vocabulary attests it: as a token of
-   its own, or as what another, differently spelled token comes out as.
+   takes the new form only if the corpus vocabulary holds it as a token of its own.
 3. Records whose whole values come out alike but are stored differently are
    paired by a digest of the outcome, so no text is shuffled.
 """
@@ -171,10 +170,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _attested(results: DataFrame, words: DataFrame) -> DataFrame:
     """(token, result) pairs whose result the corpus vocabulary holds."""
     pairs = results.select("token", "result").distinct()
-    wanted = pairs.select("result").distinct()
-    own = words.select(F.col("word").alias("result")).distinct().join(wanted, "result", "left_semi")
-    shared = pairs.groupBy("result").agg(F.count("*").alias("n")).where("n > 1").select("result")
-    return pairs.join(own.unionByName(shared).distinct(), "result", "left_semi")
+    return pairs.join(words.select(F.col("word").alias("result")).distinct(), "result", "left_semi")
 
 
 def unify(values: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,6 +193,10 @@ def unify(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     return forms, repaired
 
 
+#: Parts into which one side of a class of records is cut.
+SALTS = 8
+
+
 def same_look(values: DataFrame) -> DataFrame:
     """kind, key_a, key_b of the records of a kind whose whole values come out alike
     but are stored differently; key_a < key_b, each pair once."""
@@ -207,5 +207,9 @@ def same_look(values: DataFrame) -> DataFrame:
     out = out.distinct()
     groups = out.groupBy("kind", "canon").agg(F.min("raw").alias("_a"), F.max("raw").alias("_b")).where("_a <> _b").select("kind", "canon")
     near = cut(out.join(groups, ["kind", "canon"], "left_semi"))
-    a, b = (near.select("kind", "canon", F.col("key").alias(f"key_{x}"), F.col("raw").alias(f"raw_{x}")) for x in "ab")
-    return a.join(b, ["kind", "canon"]).where("key_a < key_b and raw_a <> raw_b").select("kind", "key_a", "key_b").distinct()
+    # the partners of a spelling are the records of the other spellings of its class: classes
+    # are expanded last, and salted, so that a look shared by many records is many tasks' work
+    salt = F.pmod(F.xxhash64("key", "raw"), F.lit(SALTS)).cast("int")
+    a = near.select("kind", "canon", F.col("key").alias("key_a"), F.col("raw").alias("raw_a"), salt.alias("_salt"))
+    b = near.select("kind", "canon", F.col("key").alias("key_b"), F.col("raw").alias("raw_b"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt"))
+    return a.join(b, ["kind", "canon", "_salt"]).where("key_a < key_b and raw_a <> raw_b").select("kind", "key_a", "key_b").distinct()
