@@ -73,8 +73,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """The sentences of every segment in order, whatever its origin."""
-    return sentence_units(load(spark, d, "segments").select("segment_key", "source_text"), "segment_key", "source_text").distinct()
+    """The sentences of every segment in order, whatever its origin. A scanned page's line ends
+    are no ends of sentences: where no mark stands before one it is read as a blank, places unchanged."""
+    rows = load(spark, d, "segments").select("segment_key", "source_text", "origin").distinct()
+    flowing = F.regexp_replace("source_text", r"(?<=[^\n।॥.?!؟۔。！？|\"”’])\n(?=[^\n])", " ")
+    text = F.when(F.coalesce(F.col("origin") == "ocr", F.lit(False)), flowing).otherwise(F.col("source_text"))
+    return sentence_units(rows.select("segment_key", text.alias("source_text")), "segment_key", "source_text")
 
 
 def _named_values(spark: SparkSession, d: str) -> DataFrame:

@@ -131,8 +131,26 @@ def _last(word: str) -> str:
     return word[-2:] if HAN.match(word, len(word) - 1) else _plain(word)
 
 
-def count_lines(texts: list[str], all_words: bool = False) -> Counter:
-    """Counts by (kind, word, word after); with ``all_words`` also of plain words and their pairs."""
+def _plain_keys(part: str, keys: list[tuple[int, str, str]]) -> None:
+    """Adds what counts of plain words: each, each pair, and the last before an end mark or a line's end."""
+    tail = part.strip().rstrip(CLOSERS)
+    if not tail or " " not in tail and not HAN.search(tail):
+        return
+    if HAN.search(part):
+        gaps = units(part)
+        keys += [(SEEN, a, "") for _, a, _ in gaps]
+        keys += [(NEXT, a, b) for _, a, b in gaps]
+        last = _last(tail.split()[-1])
+        keys += [(BEFORE_END, last, ""), (SEEN, last, "")] if gaps else []
+        return
+    words = [_plain(w) for w in tail.split()]
+    keys += zip(itertools.repeat(SEEN), words, itertools.repeat(""))
+    keys += zip(itertools.repeat(NEXT), words, words[1:])
+    keys.append((BEFORE_END, words[-1], ""))
+
+
+def count_lines(texts: list[str], plain: list[tuple[int, str, str]] | None = None) -> Counter:
+    """Counts by (kind, word, word after); what counts of plain words is added to the list ``plain``, if there is one."""
     got: Counter = Counter()
     inside: list[str] = []
     for text in texts:
@@ -167,20 +185,21 @@ def count_lines(texts: list[str], all_words: bool = False) -> Counter:
                 a, b = _plain(_word_before(line, m.end())), _head(_word_after(line, m.end()))
                 got[STOP, a, ""] += 0
                 got[PAIR, a, b] += 0
-            if all_words:
+            if plain is not None:
                 for part in CLUSTER.split(line):
-                    gaps = units(part)
-                    for _, a, b in gaps:
-                        got[SEEN, a, ""] += 1
-                        got[NEXT, a, b] += 1
-                    tail = part.strip().rstrip(CLOSERS)
-                    if gaps and tail:
-                        got[BEFORE_END, _last(tail.split()[-1]), ""] += 1
-                        got[SEEN, _last(tail.split()[-1]), ""] += 1
+                    _plain_keys(part, plain)
     got.update(zip(itertools.repeat(INSIDE), itertools.repeat(""), inside))
     return got
 
 
+#: A line without marks of fewer words (characters, where they are words) is one unit: a heading, an item.
+LEAST_WORDS, LEAST_HAN, SHORTEST = 6, 12, 12
+
+
+def _may_hold_two(line: str) -> bool:
+    return len(line.split()) >= LEAST_WORDS or len(HAN.findall(line)) >= LEAST_HAN
+
+
 def asked_of(text: str, counts: Counter, unpunctuated: bool) -> set[tuple[int, str, str]]:
     """The counts by which a text, of which ``counts`` are the own ones, is decided."""
     need: set[tuple[int, str, str]] = set()
@@ -193,8 +212,8 @@ def asked_of(text: str, counts: Counter, unpunctuated: bool) -> set[tuple[int, s
             need |= {(FIRST, "", b), (INSIDE, "", b)}
     if unpunctuated:
         for line in text.split("\n"):
-            if not CLUSTER.search(line):
-                for _, a, b in units(line):
+            if len(line) >= SHORTEST and not CLUSTER.search(line):
+                for _, a, b in units(line) if _may_hold_two(line) else ():
                     need |= {(BEFORE_END, a, ""), (SEEN, a, ""), (NEXT_TYPES, a, ""), (NEXT, a, b), (FIRST, "", b), (INSIDE, "", b)}
     return need
 
@@ -384,7 +403,7 @@ def line_cuts(model: HiddenEvents, line: str, threshold: float = 0.5) -> list[in
 
 def unmarked_cuts(model: HiddenEvents, line: str, threshold: float = 0.5) -> list[int]:
     """As line_cuts for a line without marks: an event is possible in every gap."""
-    gaps = units(line)
+    gaps = units(line) if _may_hold_two(line) else []
     if not gaps:
         return []
     odds = [model.plain(a, b) for _, a, b in gaps]
@@ -415,6 +434,7 @@ def _count_rows(unpunctuated: bool, most: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         asked: set[tuple] = set()
+        plain: list[tuple[int, str, str]] | None = [] if unpunctuated else None
 
         def give() -> Iterator[pa.RecordBatch]:
             rows = [(-1, *k, n) for k, n in held.items() if n] + [(*k, 0) for k in asked]
@@ -426,13 +446,17 @@ def _count_rows(unpunctuated: bool, most: int = 400_000):
 
         for batch in batches:
             for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = count_lines([text], unpunctuated)
+                own = count_lines([text], plain)
                 for k, n in own.items():
                     held[k] += n
                 for k in asked_of(text, own, unpunctuated):
                     asked.add((block, *k))
+                if plain and len(plain) > 50_000:
+                    held.update(plain)
+                    plain.clear()
             if len(held) + len(asked) > most:
                 yield from give()
+        held.update(plain or ())
         yield from give()
 
     return run

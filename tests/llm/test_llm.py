@@ -158,7 +158,10 @@ def test_normal_form_is_stable(text):
 
 
 def events(lines, all_words=False):
-    counts = dict(sentences.count_lines(lines, all_words))
+    plain = [] if all_words else None
+    got = sentences.count_lines(lines, plain)
+    got.update(plain or ())
+    counts = dict(got)
     totals = {}
     for (kind, _, b), n in counts.items():
         kind = -1 - kind if kind in (sentences.FIRST, sentences.INSIDE) and sentences.HAN.match(b) else kind
