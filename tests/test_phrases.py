@@ -1,6 +1,7 @@
 """Phrases against brute force over all windows with difflib."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 from hypothesis import given, settings
@@ -46,3 +47,31 @@ def test_phrases_of_odd_tables(spark):
     assert phrases.phrase_matches(n.limit(0), p, ["doc_id"]).count() == 0
     one = phrases.single_match(got, ["doc_id", "note_id"]).collect()
     assert [(r["note_id"], r["passage_id"]) for r in sorted(one)] == [("a", "p1"), ("d", "p4")]
+
+
+def test_books_at_once_are_as_good_as_each_note_alone_and_cost_less():
+    rng = random.Random(11)
+    syllables = "ka ri mu to ne sha dra pi lo wen a ur bram jna".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    vocabulary = [word() for _ in range(300)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    spent = [0.0, 0.0]
+    for n in (1, 3):
+        held = [(b, (f"p{i:04d}", 0), line(rng.randint(1, 14))) for b, size in ((1, 1500), (2, 1), (3, 40), (4, 130)) for i in range(size)]
+        asked = [(b, " ".join(word() for _ in range(n))) for b, size in ((1, 200), (2, 2), (3, 1), (4, 9), (5, 1)) for _ in range(size)]
+        asked += [(1, " ".join(["x" * 80] * n)), (4, " ".join(["a"] * n)), asked[0]]
+        rng.shuffle(held)
+        began = time.process_time()
+        got = phrases.best_of_books(asked, held, 3, 0.55)
+        spent[0] += time.process_time() - began
+        rows = {}
+        for i, score, k, window in got:
+            rows.setdefault(i, []).append((score, held[k][1], window))
+        began = time.process_time()
+        blocks = {b: [x for x in held if x[0] == b] for b in range(1, 6)}
+        starts = {b: phrases.Starts([x[2] for x in mine]) for b, mine in blocks.items() if mine}
+        for i, (b, note) in enumerate(asked):
+            want = phrases.best_of_block(note, starts[b], [x[1] for x in blocks[b]], 3, 0.55) if blocks[b] else []
+            assert sorted(rows.get(i, []), key=lambda x: (-x[0], x[1])) == want
+        spent[1] += time.process_time() - began
+    assert spent[0] < spent[1] / 2
