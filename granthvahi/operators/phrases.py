@@ -351,11 +351,9 @@ class Notes:
         books, here = np.unique(home, return_inverse=True)
         mine = np.flatnonzero(np.isin(self.book, books))
         size = self.sizes[kind][mine]
+        groups = [mine[(size > lo) & (size <= hi)] for lo, hi in ((0, 8), (8, 16), (16, 32), (32, 64))]
         if len(books) == 1:  # notes of like sizes go together: they look as far into a text
-            mine = mine[np.argsort(size, kind="stable")]
-            groups = np.array_split(mine, -(-len(mine) // COLUMNS))
-        else:
-            groups = [mine[(size > lo) & (size <= hi)] for lo, hi in ((0, 8), (8, 16), (16, 32), (32, 64))]
+            groups = [part for few in groups for part in np.array_split(few[np.argsort(self.sizes[kind][few], kind="stable")], -(-len(few) // COLUMNS) or 1)]
         for few in groups:
             if len(few):
                 bits = next(x for x in (8, 16, 32, 64) if self.sizes[kind][few].max() <= x)
@@ -506,23 +504,29 @@ class Notes:
         on = np.isin(pair, left)
         rows, whole, either = rows[on], whole[on], either[on]
         note, sentence, need, count = note[left], sentence[left], need[left], count[left]
-        offset, pair = np.cumsum(count) - count, np.repeat(np.arange(len(note)), count)
-        # of each sentence the window of the highest bound first ...
-        high = np.maximum.reduceat(whole.max(axis=1), offset)
-        top = np.flatnonzero(whole.max(axis=1) == high[pair])
-        top = top[np.r_[True, pair[top[1:]] != pair[top[:-1]]]]
-        first = self._exact(0, note, rows[top], whole[top].argmax(axis=1))
-        # ... then those that may be nearer still, unless none of them could score enough
-        may = whole >= first[pair][:, None] - 1e-12
-        good = np.maximum.reduceat(np.where(may, either, -1.0).max(axis=1), offset) >= need
-        r, c = np.nonzero(may & good[pair][:, None])
-        by = np.lexsort((r, c, pair[r]))  # equals are taken by width, then place
-        r, c = r[by], c[by]
+        pair = np.repeat(np.arange(len(note)), count)
+        # the nearest window must be one of those that score enough: others, by their bounds, until one is nearer
+        enough = either >= need[pair][:, None]
+        r, c = np.nonzero(enough)
+        score, near = self._exact(0, note[pair[r]], rows[r], c), np.full(len(note), -1.0)
+        np.maximum.at(near, pair[r], score)
+        held = [(r, c, score)]
+        r, c = np.nonzero((whole >= near[pair][:, None] - 1e-12) & ~enough)
+        by = np.lexsort((-whole[r, c], pair[r]))
+        r, c, size = r[by], c[by], 3
+        while len(r):
+            now = np.arange(len(r)) - np.searchsorted(pair[r], pair[r]) < size
+            score = self._exact(0, note[pair[r[now]]], rows[r[now]], c[now])
+            held.append((r[now], c[now], score))
+            near[pair[r[now]][score > near[pair[r[now]]]]] = 9.0  # the sentence is out
+            later = ~now & (near[pair[r]] < 9)
+            r, c, size = r[later], c[later], size * 3
+        r, c, score = (np.concatenate(x) for x in zip(*held, strict=True))
+        r, c, score = (x[near[pair[r]] < 9] for x in (r, c, score))
         if not len(r):
             return
         whose = pair[r]
-        score = self._exact(0, note[whose], rows[r], c)
-        lead = np.lexsort((np.arange(len(r)), -score, whose))
+        lead = np.lexsort((r, c, -score, whose))  # equals are taken by width, then place
         lead = lead[np.r_[True, whose[lead[1:]] != whose[lead[:-1]]]]
         thin = self._exact(1, note[whose[lead]], rows[r[lead]], c[lead])
         for k, x, y in zip(lead.tolist(), score[lead].tolist(), thin.tolist(), strict=True):
