@@ -585,15 +585,16 @@ def phrase_matches(notes: DataFrame, passages: DataFrame, keys: list[str], best:
     sign for abbreviations takes a sentence that holds the two at 1.0. Equal scores go by
     passage_id and sentence_no; repeated rows count once; nulls and notes without a Latin
     letter or digit have no row."""
-    q = notes.where("note is not null").select(*keys, "note_id", roman_note(F.col("note")).alias("q"), F.lower("note").contains("shunya").alias("sign")).where("q <> ''").distinct()
+    q = notes.where("note is not null").select(*keys, "note_id", roman_note(F.col("note")).alias("q"), F.lower("note").contains("shunya").alias("sign")).distinct()
     s = passages.where("passage_id is not null").select(*keys, "passage_id", F.posexplode(_sentences(F.col("text"))).alias("sentence_no", "s"))
-    s = s.select(*keys, "passage_id", "sentence_no", roman_note(romanize(nfc_devanagari(F.col("s")))).alias("c")).where("c <> ''").distinct()
+    s = s.select(*keys, "passage_id", "sentence_no", roman_note(romanize(nfc_devanagari(F.col("s")))).alias("c")).distinct()
     # a block holds notes of as many words, for which the windows are laid out once
-    q, s = cut(q.withColumn("w", F.size(F.split("q", " ")))), cut(s)
+    q, s = cut(q.withColumn("w", F.size(F.split("q", " ")))).where("q <> ''"), cut(s).where("c <> ''")  # a filter before the cut would romanise twice
     n = q.groupBy(*keys, F.col("w").alias("v")).agg(F.count("*").alias("nq")).join(s.groupBy(*keys).agg(F.count("*").alias("ns")), keys)
     n = n.withColumn("bq", F.ceil(F.col("nq") / note_block).cast("int")).withColumn("bs", F.ceil(F.col("ns") / sentence_block).cast("int"))
     small = F.col("bq") * F.col("bs") == 1
-    held, asked, own = n.agg(F.sum(F.when(small, F.col("ns"))), F.sum(F.when(small, F.col("nq"))), F.sum(F.when(~small, F.col("bq") * F.col("bs")))).first()
+    sizes = n.groupBy("v").agg(F.sum(F.when(small, F.col("ns"))), F.sum(F.when(small, F.col("nq"))), F.sum(F.when(~small, F.col("bq") * F.col("bs"))))
+    held, asked, own, lengths = sizes.toDF("v", "held", "asked", "own").agg(F.max("held"), F.max("asked"), F.sum("own"), F.count("*")).first()
     # books of one block share it with others
     shared = max(1, -(-(held or 0) // SHARED), -(-(asked or 0) // note_block))
     book = F.xxhash64(*keys)
@@ -614,7 +615,7 @@ def phrase_matches(notes: DataFrame, passages: DataFrame, keys: list[str], best:
 
     by = ["w", "g", "bq", "bs"]
     # little data and much work: the partitions are counted by blocks, which keeps them from being joined by size
-    tasks = min(2000, 8 * shared + 2 * (own or 0))
+    tasks = min(2000, 2 * (shared * max(1, min(lengths, 16)) + (own or 0)))
     got = q_in.repartition(tasks, *by).groupBy(*by).cogroup(s_in.repartition(tasks, *by).groupBy(*by)).applyInPandas(meet, f"{kinds}, note_id string, {RESULT}")
     got = got.unionByName(_abbreviations(q.where("sign").select(*keys, "note_id"), passages, keys))
     got = got.groupBy(*keys, "note_id", "passage_id", "sentence_no").agg(F.max_by(F.struct("window", "score"), "score").alias("m")).select("*", "m.window", "m.score").drop("m")
